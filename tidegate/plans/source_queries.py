@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.columns import digest, draw_unit
 from ..operators import cleaning, metrics, networks, sampling, scaling
+from ..operators.federation import average_parameters
 from ..session import scratch_path
 from ..sources import flows as src, sinks
 from .cleaning_queries import finite_sql
@@ -166,8 +169,6 @@ SELECT CAST(r AS INT) AS round, CAST(sum(n) AS BIGINT) AS n, """ + ", ".join(
 FROM cells, range(2, 4) t(r) GROUP BY r""")
 def parameter_checkpoint(spark, sf_dir):
     """Averaged parameters stored per round; rounds 2 and 3 read back through the strict loader."""
-    from ..operators.federation import average_parameters
-
     path = scratch_path(spark, "params")
     layout = networks.Layout("means", (1, 2))
     merged = average_parameters(client_means(spark, sf_dir))
@@ -186,13 +187,9 @@ SELECT client, count(*) AS n, round(avg(1 / (1 + exp(-(price / 50000 - 1)))), 6)
 FROM flows GROUP BY client""")
 def user_functions(spark, sf_dir):
     """The three kinds of user function: rows to scores, group to rows, table to table."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(price: pd.Series) -> pd.Series:
-        from numpy import exp
-
-        return 1.0 / (1.0 + exp(-(price / 50000 - 1)))
+        return 1.0 / (1.0 + np.exp(-(price / 50000 - 1)))
 
     def metric(df):
         return metrics.weighted_mean(df, "price", "n", [], "overall_price")
