@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as flow table: three clients, four features, a text label, a learnable 0/1 label."""
-    l = table(spark, sf_dir, "lineitem")
+    return flows_from(table(spark, sf_dir, "lineitem"))
+
+
+def flows_from(l: DataFrame) -> DataFrame:
     return l.select(
         (F.col("l_suppkey") % 3 + 1).cast("int").alias("client"),
         F.concat_ws(
