@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import pinned, stable
+from ..session import largest, pinned, stable
 from .ranking import attach
 
 PERCENTILE_ROWS = 2_000_000   # rows per group the built-in buffer may see
@@ -33,8 +33,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Long table (groups, column, prob, value) with linear interpolation between ranks."""
     groups, columns, probs = list(groups), list(columns), [float(p) for p in probs]
-    largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if largest <= direct_rows:
+    if largest(pinned(df.groupBy(*groups).count()), "count") <= direct_rows:
         wide = df.groupBy(*groups).agg(
             *[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in columns]
         )
@@ -132,11 +131,10 @@ def _select_ranks(candidates, facts, groups, window_rows):
     keys = [*groups, "column", "prob"]
     before = None
     while True:
-        sizes = candidates.groupBy(*keys).agg(F.count("*").alias("_d"))
-        largest = sizes.agg(F.max("_d")).first()[0] or 0
-        if largest <= window_rows or largest == before:
+        most = largest(pinned(candidates.groupBy(*keys).agg(F.count("*").alias("_d"))), "_d")
+        if most <= window_rows or most == before:
             break
-        before = largest
+        before = most
         # equal steps over the distinct values; the true minimum and maximum close the list
         steps = [i / SPLITS for i in range(1, SPLITS)]
         cuts = pinned(

@@ -1,7 +1,7 @@
 """Exact ranks and cut points by hash prefix.
 
-No operator here sorts a whole group in one task. Counts per hash prefix say in
-which prefix a rank lies, and only rows of that prefix are looked at again.
+No operator here sorts a whole group in one task. Counts per hash range say in
+which range a rank lies, and only rows of that range are looked at again.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import pinned, stable
+from ..session import largest, pinned, stable
 
 HASH_DIGITS = 32
 STEP = 3                  # 4,096 prefixes per refinement
+SIGMAS = 8                # half width of a bracket in standard deviations
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -31,11 +32,20 @@ def attach(df: DataFrame, facts: DataFrame, groups: Sequence[str], how: str = "i
     return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in facts.schema])
 
 
-def _holding_rank(counted: DataFrame, groups: Sequence[str], by: str, keep: Sequence[str]) -> DataFrame:
+def _holding_rank(counted: DataFrame, groups: Sequence[str], by: str) -> DataFrame:
     """Of the running counts per ``by`` value, the one row per group that holds rank k."""
     running = counted.withColumn("_run", F.col("_before") + F.sum("_c").over(ordered(groups, by)))
     return running.where((F.col("_run") >= F.col("k")) & (F.col("_run") - F.col("_c") < F.col("k"))).select(
-        *groups, *keep, by, "_c", (F.col("_run") - F.col("_c")).alias("_before")
+        *groups, "n", "k", by, "_c", (F.col("_run") - F.col("_c")).alias("_before")
+    )
+
+
+def _cuts(counted: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return pinned(
+        _holding_rank(counted, groups, "_h").select(
+            *groups, "n", "k", F.col("_h").alias("cut"), F.col("_c").alias("ties"),
+            (F.col("k") - F.col("_before")).alias("need"),
+        )
     )
 
 
@@ -49,38 +59,52 @@ def hash_cuts(
     """Per group: rows ``n``, rank ``k`` and the k-th smallest hash as ``cut``.
 
     ``k`` is an expression over ``n`` and the group columns. ``ties`` rows share
-    the cut hash, ``need`` of them are within rank k. In the usual case two
-    aggregations run: counts per prefix (combined map-side), then the rows of
-    the one prefix that holds rank k.
+    the cut hash, ``need`` of them are within rank k.
+
+    Hashes are spread evenly, so the k-th of n lies within a few times sqrt(n)
+    ranks of k/n. One aggregation counts the rows below that bracket and the
+    hashes inside it. Where many copies of one key bend the spread, the cut is
+    found by prefix counts instead, which need nothing of the kind.
     """
     groups = list(groups)
+    sizes = pinned(df.groupBy(*groups).agg(F.count("*").alias("n")).withColumn("k", k.cast("bigint")))
+    share = F.col("k") / F.col("n")
+    spread = SIGMAS * F.sqrt(share * (1 - share) / F.col("n")) + 2 / F.col("n")
+    brackets = sizes.withColumn("_lo", _hash_at(share - spread)).withColumn("_hi", _hash_at(share + spread))
     base = df.select(*groups, hash_col.alias("_h"))
-    length = STEP
-    counted = (
-        base.groupBy(*groups, F.substring("_h", 1, length).alias("_p"))
-        .agg(F.count("*").alias("_c"))
-        .withColumn("n", F.sum("_c").over(Window.partitionBy(*[F.col(g) for g in groups])))
-        .withColumn("k", k.cast("bigint"))
-        .withColumn("_before", F.lit(0).cast("bigint"))
-    )
-    chosen = pinned(_holding_rank(counted, groups, "_p", ["n", "k"]))
+    bounded = attach(base, pinned(brackets), groups)
+    counted = bounded.groupBy(
+        *groups, "n", "k",
+        F.when(F.col("_h") < F.col("_lo"), "").when(F.col("_h") <= F.col("_hi"), F.col("_h")).otherwise("~").alias("_h"),
+    ).agg(F.count("*").alias("_c"), F.lit(0).cast("bigint").alias("_before"))
+    cuts = _cuts(counted, groups)
+    inside = cuts.where((F.col("cut") != "") & (F.col("cut") != "~"))
+    if inside.count() == sizes.count():
+        return cuts
+    return _cuts_by_prefix(base, sizes, groups, rows_per_bucket)
+
+
+def _hash_at(share: Column) -> Column:
+    """First digits of the hash below which ``share`` of all hashes lie."""
+    place = F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * float(16**12 - 1)).cast("bigint")
+    return F.lower(F.lpad(F.hex(place), 12, "0"))
+
+
+def _cuts_by_prefix(base: DataFrame, sizes: DataFrame, groups: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    """Narrow to the prefix that holds rank k until its rows are few, then to the hash."""
+    length = 0
+    chosen = sizes.withColumn("_p", F.lit("")).withColumn("_before", F.lit(0).cast("bigint")).withColumn("_c", F.col("n"))
     while True:
-        inside = attach(base, chosen.drop("_c"), groups).where(F.substring("_h", 1, length) == F.col("_p"))
-        if length >= HASH_DIGITS or (chosen.agg(F.max("_c")).first()[0] or 0) <= rows_per_bucket:
+        within = attach(base, chosen.drop("_c"), groups).where(F.substring("_h", 1, length) == F.col("_p"))
+        if length >= HASH_DIGITS or (length and largest(chosen, "_c") <= rows_per_bucket):
             break
         length = min(HASH_DIGITS, length + STEP)
-        counted = inside.groupBy(
+        counted = within.groupBy(
             *groups, "n", "k", "_before", F.substring("_h", 1, length).alias("_p")
         ).agg(F.count("*").alias("_c"))
-        chosen = pinned(_holding_rank(counted, groups, "_p", ["n", "k"]))
+        chosen = pinned(_holding_rank(counted, groups, "_p"))
     # equal hashes are counted first, so copies of one key are one row here
-    counted = inside.groupBy(*groups, "n", "k", "_before", "_h").agg(F.count("*").alias("_c"))
-    return pinned(
-        _holding_rank(counted, groups, "_h", ["n", "k"]).select(
-            *groups, "n", "k", F.col("_h").alias("cut"), F.col("_c").alias("ties"),
-            (F.col("k") - F.col("_before")).alias("need"),
-        )
-    )
+    return _cuts(within.groupBy(*groups, "n", "k", "_before", "_h").agg(F.count("*").alias("_c")), groups)
 
 
 def hash_rank(
@@ -103,20 +127,17 @@ def hash_rank(
     def count(rows: DataFrame) -> DataFrame:
         return pinned(rows.groupBy(*groups, "_p").agg(F.count("*").alias("_c")))
 
-    def biggest(counts: DataFrame) -> int:
-        return counts.agg(F.max("_c")).first()[0] or 0
-
     length = 2
     bucketed = hashed.withColumn("_p", F.substring("_h", 1, length))
     counts = count(bucketed)
-    excess = biggest(counts)
+    excess = largest(counts, "_c")
     if excess > rows_per_bucket:
         while excess > rows_per_bucket and length < 8:
             excess //= 16
             length += 1
         bucketed = hashed.withColumn("_p", F.substring("_h", 1, length))
         counts = count(bucketed)
-        if biggest(counts) > 4 * rows_per_bucket:
+        if largest(counts, "_c") > 4 * rows_per_bucket:
             bucketed = _spread_copies(bucketed, counts, groups, rows_per_bucket)
             counts = count(bucketed)
     offsets = counts.select(*groups, "_p", (F.sum("_c").over(ordered(groups, "_p")) - F.col("_c")).alias("_offset"))

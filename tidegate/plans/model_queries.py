@@ -11,6 +11,7 @@ from ..operators import classifiers, federation, metrics, sampling, scaling, tra
 from ..operators.cleaning import assemble_features
 from ..operators.neighbours import knn_predict, nearest_neighbours
 from ..operators.networks import VARIANTS, Layout, initial_parameters, parameter_table, score
+from ..session import written
 from .network_sql import network_sql
 from .registry import register
 from .views import FEATURES, FLOWS_SQL, KEY, SHARE, SPLIT_SQL, VECTORS_SQL, draw_sql, flows, vectors
@@ -86,7 +87,8 @@ def score_flows(spark, sf_dir):
 
 
 def shards_and_holdout(spark, sf_dir, rows_per_shard=training.ROWS_PER_SHARD):
-    rows = prepared(spark, sf_dir)
+    """Prepared once and stored: every later pass reads a few columns instead of splitting again."""
+    rows = written(prepared(spark, sf_dir).select("client", "flow_key", "is_test", "features", "attack"), "prepared")
     shards = training.lay_out_shards(
         rows.where(~F.col("is_test")), KEY, "attack", rows_per_shard=rows_per_shard
     )

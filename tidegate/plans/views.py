@@ -24,7 +24,7 @@ def flows_from(l: DataFrame) -> DataFrame:
     return l.select(
         (F.col("l_suppkey") % 3 + 1).cast("int").alias("client"),
         F.concat_ws(
-            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date")
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date(F.col("l_shipdate").cast("date"))
         ).alias("flow_key"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
@@ -35,7 +35,8 @@ def flows_from(l: DataFrame) -> DataFrame:
 
 FLOWS_SQL = """flows AS (
   SELECT CAST(l_suppkey % 3 + 1 AS INT) AS client,
-         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS flow_key,
+         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                   date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS flow_key,
          l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
          CASE WHEN l_returnflag = 'N' THEN 'BENIGN' ELSE l_returnflag END AS "Label",
          CAST(l_extendedprice * (1 - l_discount) > 50000 AS BIGINT) AS attack

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Upper bound for a table that may pass through the driver and be broadcast.
 SMALL_ROWS = 50_000
@@ -20,6 +21,7 @@ def build_session(app: str = "tidegate", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.checkpoint.compress": "true",
         # merge a hot source's rows into partial sessions before the shuffle
         "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     }
@@ -54,6 +56,13 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write to the shared folder as Parquet and read back: later passes read only the columns they use."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Compute a small table once and keep it as a local relation.
 
@@ -64,4 +73,13 @@ def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows:
         return stable(df)
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    local = df.sparkSession.createDataFrame(table, schema=df.schema)
+    local._pinned_rows = table
+    return local
+
+
+def largest(df: DataFrame, column: str) -> int:
+    """Maximum of a counter column, 0 for an empty table; no job for a pinned table."""
+    rows = getattr(df, "_pinned_rows", None)
+    value = pc.max(rows.column(column)).as_py() if rows is not None else df.agg(F.max(column)).first()[0]
+    return value or 0
