@@ -1,0 +1,185 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidegate.operators import federation as fed, training as tr
+from tidegate.operators.networks import VARIANTS, Layout, forward, initial_parameters, score, score_each
+from tidegate.sources import sinks
+
+from conftest import rows
+
+
+def test_variant_sizes():
+    assert {n: v.n_parameters for n, v in VARIANTS.items()} == {
+        "v1": 1666, "v2": 4834, "v3": 1570, "v4": 49 * 32 + 32 + 11 * (32 * 32 + 32), "v5": 26882,
+    }
+
+
+@pytest.mark.parametrize("head", ["logits", "sigmoid", "softmax"])
+def test_expression_equals_array_function(spark, head):
+    layout = Layout("t", (3, 5, 2), head)
+    flat = initial_parameters(layout, "t")
+    df = spark.range(50).select(
+        "id", *[(F.sin(F.col("id") * (i + 1)) * 3).alias(f"x{i}") for i in range(3)]
+    ).withColumn("features", F.array("x0", "x1", "x2"))
+    by_column = score(df, layout, flat, ["x0", "x1", "x2"]).orderBy("id").collect()
+    by_array = score(df, layout, flat).orderBy("id").collect()
+    for a, b in zip(by_column, by_array):
+        assert a["scores"] == pytest.approx(b["scores"]) and a["pred"] == b["pred"]
+    x = np.array([r["features"] for r in by_array])
+    assert np.allclose([r["scores"] for r in by_array], forward(layout, layout.unpack(np.array(flat)), x))
+
+
+def test_scores_of_many_models_in_one_pass(spark):
+    layout = Layout("t", (2, 4, 3))
+    models = {r: initial_parameters(layout, f"m{r}") for r in (0, 5)}
+    df = spark.range(20).select("id", F.array(F.col("id") * 0.1, F.lit(1.0)).alias("features"))
+    each = score_each(df, layout, models)
+    for r, flat in models.items():
+        one = score(df, layout, flat).orderBy("id").collect()
+        many = each.where(F.col("round") == r).orderBy("id").collect()
+        assert [a["scores"] for a in one] == [b["scores"] for b in many]
+
+
+def test_wrong_width_is_refused(spark):
+    layout = Layout("t", (3, 2))
+    df = spark.range(1).select(F.array(F.lit(1.0), F.lit(2.0)).alias("features"))
+    with pytest.raises(Exception, match="3 wide"):
+        score(df, layout, initial_parameters(layout)).collect()
+    with pytest.raises(ValueError):
+        score(df, layout, [1.0])
+
+
+@pytest.mark.parametrize("head", ["logits", "sigmoid", "softmax"])
+def test_slope_equals_difference_quotient(head):
+    rng = np.random.default_rng(0)
+    z, y = rng.normal(size=(6, 3)), np.array([0, 1, 2, 0, 1, 2])
+    _, slope = tr.loss_and_slope(head, z.copy(), y)
+    for i, j in np.ndindex(z.shape):
+        up, down = z.copy(), z.copy()
+        up[i, j] += 1e-6
+        down[i, j] -= 1e-6
+        quotient = (tr.loss_and_slope(head, up, y)[0] - tr.loss_and_slope(head, down, y)[0]) / 2e-6
+        assert slope[i, j] == pytest.approx(quotient, abs=1e-7)
+
+
+def test_softmax_head_cannot_fall_below_its_floor():
+    z = np.array([[500.0, -500.0]])
+    assert tr.loss_and_slope("softmax", z, np.array([0]))[0] == pytest.approx(math.log(1 + math.exp(-1)))
+
+
+@pytest.mark.parametrize("name,first", [("SGD", 0.1), ("Adam", 0.1), ("RMSprop", 1.0)])
+def test_first_optimiser_step(name, first):
+    w, g = np.zeros(1), np.array([1.0])
+    tr._stepper(tr.Fit(name, lr=0.1), w, g)()
+    assert w[0] == pytest.approx(-first, rel=1e-6)
+
+
+def separable(spark, n=4000, clients=3):
+    return spark.range(n).select(
+        (F.col("id") % clients + 1).cast("int").alias("client"), F.col("id").alias("key"),
+        F.array(F.sin(F.col("id") * 1.3) * 2, F.cos(F.col("id") * 0.7) * 2).alias("features"),
+        (F.sin(F.col("id") * 1.3) + F.cos(F.col("id") * 0.7) > 0).cast("bigint").alias("label"),
+    )
+
+
+NET = Layout("net", (2, 8, 2))
+
+
+def test_federated_accuracy_beats_the_majority(spark):
+    data = separable(spark)
+    shards = tr.lay_out_shards(data.where("key % 5 <> 0"), ["key"], rows_per_shard=500)
+    run = fed.federate(shards, NET, tr.Fit("SGD", lr=0.01, epochs=3), rounds=3)
+    holdout = data.where("key % 5 = 0").withColumn("batch_id", F.lit(0).cast("bigint"))
+    records = fed.evaluate_rounds(holdout, NET, run.models)
+    accuracy = {r["round"]: r["accuracy"] for r in fed.federated_metrics(records).collect()}
+    assert sorted(accuracy) == [0, 1, 2, 3] and accuracy[3] > 93
+    assert rows(run.history.groupBy("round").agg(F.max("epoch")))[-1] == (3, 3)
+    assert [r["round"] for r in run.params.orderBy("round").collect()] == [0, 1, 2, 3]
+    server = {r["round"]: r["mean_accuracy_pct"] for r in fed.server_metrics(records).collect()}
+    assert server[3] > 93
+
+
+def test_training_does_not_depend_on_partitioning(spark):
+    data = separable(spark, 900)
+    found = []
+    for partitions in (1, 4, 200):
+        shards = tr.lay_out_shards(data.repartition(partitions), ["key"], rows_per_shard=200)
+        fits = tr.fit_shards(shards, NET, {0: (tr.Fit("Adam", epochs=1), initial_parameters(NET))})
+        found.append(fed.average_parameters(fits, ["job"]).first()["w"])
+    assert found[0] == pytest.approx(found[1], rel=1e-9) and found[0] == pytest.approx(found[2], rel=1e-9)
+
+
+def test_one_shard_equals_plain_training(spark):
+    data = separable(spark, 300, clients=1)
+    start = initial_parameters(NET)
+    fit = tr.Fit("SGD", epochs=2)
+    shards = tr.lay_out_shards(data, ["key"])
+    got = tr.fit_shards(shards, NET, {0: (fit, start)}).first()
+    local = shards.rows.collect()
+    x, y = np.array([r["features"] for r in local]), np.array([r["label"] for r in local])
+    w, loss, _, _ = tr.train_shard(NET, fit, np.array(start), x, y, 0)
+    assert got["w"] == pytest.approx(list(w)) and got["loss"] == pytest.approx(list(loss)) and got["n"] == 300
+
+
+def test_copies_of_a_hot_key_do_not_crowd_a_shard(spark):
+    data = separable(spark, 3000, clients=1).withColumn("key", F.when(F.col("key") % 3 == 0, -1).otherwise(F.col("key")))
+    shards = tr.lay_out_shards(data, ["key"], rows_per_shard=100)
+    sizes = [r["count"] for r in shards.rows.groupBy("slot").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 100
+
+
+def test_history_counts_every_row(spark):
+    shards = tr.lay_out_shards(separable(spark, 700), ["key"], rows_per_shard=100)
+    fits = tr.fit_shards(shards, NET, {3: (tr.Fit(epochs=2, batch_size=32), initial_parameters(NET))})
+    history = tr.fit_history(fits)
+    assert history.groupBy("epoch").agg(F.sum("n")).orderBy("epoch").collect() == [(1, 700), (2, 700)]
+    assert history.agg(F.max("correct")).first()[0] <= 700
+
+
+def params(spark, data):
+    return spark.createDataFrame(data, "round int, client int, n bigint, w array<double>")
+
+
+def test_average_by_hand(spark):
+    df = params(spark, [(1, 1, 10, [1.0, 2.0]), (1, 2, 20, [4.0, 5.0]), (1, 3, 70, [0.0, 10.0])])
+    r = fed.average_parameters(df).first()
+    assert r["w"] == pytest.approx([0.9, 8.2]) and r["n"] == 100
+
+
+def test_average_of_one_or_equal_clients_is_identity(spark):
+    w = [0.5, -1.25, 3.0]
+    assert fed.average_parameters(params(spark, [(1, 1, 7, w)])).first()["w"] == w
+    assert fed.average_parameters(params(spark, [(1, c, c, w) for c in (1, 2, 3)])).first()["w"] == pytest.approx(w)
+
+
+def test_unequal_parameter_lengths_are_an_error(spark):
+    df = params(spark, [(1, 1, 10, [1.0, 2.0]), (1, 2, 20, [4.0])])
+    with pytest.raises(Exception, match="differ in length"):
+        fed.average_parameters(df).collect()
+
+
+def test_too_few_clients(spark):
+    shards = tr.lay_out_shards(separable(spark, 60, clients=2), ["key"])
+    with pytest.raises(ValueError):
+        fed.federate(shards, NET, tr.Fit())
+
+
+def test_parameters_are_stored_per_round(spark, tmp_path):
+    path = str(tmp_path / "params")
+    for r in (1, 2):
+        sinks.save_parameters(params(spark, [(r, None, 5, [float(r)] * NET.n_parameters)]), path)
+    assert sinks.load_parameters(spark, path, NET) == [2.0] * NET.n_parameters
+    assert sinks.load_parameters(spark, path, NET, 1)[0] == 1.0
+    with pytest.raises(ValueError):
+        sinks.load_parameters(spark, path, Layout("other", (2, 2)))
+    with pytest.raises(LookupError):
+        sinks.load_parameters(spark, path, NET, 9)
+
+
+def test_rounds_read_shards_in_place(spark):
+    shards = tr.lay_out_shards(separable(spark, 300), ["key"], rows_per_shard=50)
+    plan = tr.fit_shards(shards, NET, {0: (tr.Fit(), initial_parameters(NET))})._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString()
