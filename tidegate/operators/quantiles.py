@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import largest, pinned, stable
 from .ranking import attach
 
-PERCENTILE_ROWS = 2_000_000   # rows per group the built-in buffer may see
+PERCENTILE_CELLS = 4_000_000  # values (rows × columns) of one group the built-in buffers may hold
 SKETCH = 10_000               # approx_percentile accuracy: rank error n / SKETCH
 MARGIN = 3.0 / SKETCH
-COLUMNS_PER_PASS = 12
+COLUMNS_PER_PASS = 26         # keeps the counting aggregation small enough to compile
 WINDOW_ROWS = 2_000_000       # distinct values one window partition may order
 SPLITS = 1_000
 
@@ -28,11 +28,13 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     groups: Sequence[str] = (),
-    direct_rows: int = PERCENTILE_ROWS,
+    direct_rows: int | None = None,
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Long table (groups, column, prob, value) with linear interpolation between ranks."""
     groups, columns, probs = list(groups), list(columns), [float(p) for p in probs]
+    if direct_rows is None:
+        direct_rows = PERCENTILE_CELLS // len(columns)
     if largest(pinned(df.groupBy(*groups).count()), "count") <= direct_rows:
         wide = df.groupBy(*groups).agg(
             *[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in columns]

@@ -78,8 +78,7 @@ def hash_cuts(
         F.when(F.col("_h") < F.col("_lo"), "").when(F.col("_h") <= F.col("_hi"), F.col("_h")).otherwise("~").alias("_h"),
     ).agg(F.count("*").alias("_c"), F.lit(0).cast("bigint").alias("_before"))
     cuts = _cuts(counted, groups)
-    inside = cuts.where((F.col("cut") != "") & (F.col("cut") != "~"))
-    if inside.count() == sizes.count():
+    if cuts.where(F.col("cut").isin("", "~")).isEmpty():
         return cuts
     return _cuts_by_prefix(base, sizes, groups, rows_per_bucket)
 

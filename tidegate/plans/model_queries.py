@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import digest, draw_int
 from ..operators import classifiers, federation, metrics, sampling, scaling, training
 from ..operators.cleaning import assemble_features
-from ..operators.neighbours import knn_predict, nearest_neighbours
+from ..operators.neighbours import nearest_neighbours, vote
 from ..operators.networks import VARIANTS, Layout, initial_parameters, parameter_table, score
-from ..session import written
+from ..session import stable, written
 from .network_sql import network_sql
 from .registry import register
 from .views import FEATURES, FLOWS_SQL, KEY, SHARE, SPLIT_SQL, VECTORS_SQL, draw_sql, flows, vectors
@@ -190,10 +190,10 @@ FROM votes GROUP BY ALL"""
 def nearest(spark, sf_dir):
     """Five nearest train vectors of every test vector: predicted label and distance of the fifth."""
     train, test = sampling.train_test(vectors(spark, sf_dir), SHARE, ["row_id"], groups=[])
-    found = nearest_neighbours(train, test, 5, train_id="row_id", test_id="row_id")
+    found = stable(nearest_neighbours(train, test, 5, train_id="row_id", test_id="row_id"))
     reach = found.groupBy("test_id").agg(F.round(F.max("dist"), 5).alias("reach"))
-    predicted = knn_predict(train, test, 5, train_id="row_id", test_id="row_id")
-    return predicted.join(reach, predicted.row_id == reach.test_id).select("row_id", "label", "pred", "reach")
+    both = vote(found).join(reach, "test_id").withColumnRenamed("test_id", "row_id")
+    return test.join(both, "row_id").select("row_id", "label", "pred", "reach")
 
 
 def numbered(rows):
@@ -205,7 +205,8 @@ def numbered(rows):
 
 
 def _train_test_rows(spark, sf_dir):
-    rows = numbered(prepared(spark, sf_dir))
+    """Stored once: learners pass over their rows many times."""
+    rows = written(numbered(prepared(spark, sf_dir)), "rows")
     return rows.where(~F.col("is_test")), rows.where("is_test")
 
 
@@ -243,7 +244,7 @@ def central_perceptron(spark, sf_dir):
 @register("o51_model_comparison")
 def model_comparison(spark, sf_dir):
     """Two algorithms, three clients as data sets, two repeats; mean and spread of the accuracy."""
-    rows = numbered(prepared(spark, sf_dir)).withColumnRenamed("client", "dataset")
+    rows = written(numbered(prepared(spark, sf_dir)).withColumnRenamed("client", "dataset"), "rows")
     chosen = {
         "DecisionTree": partial(classifiers.decision_tree, max_depth=8),
         "SVM": partial(classifiers.support_vectors, rbf=False),

@@ -22,6 +22,9 @@ def build_session(app: str = "tidegate", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.checkpoint.compress": "true",
+        # streaming state beyond the heap
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # merge a hot source's rows into partial sessions before the shuffle
         "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     }
