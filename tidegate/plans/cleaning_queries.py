@@ -10,7 +10,7 @@ from .views import DIRTY_SQL, FEATURES, FLOWS_SQL, dirty_flows, flows, table
 
 
 def _sums(*names):
-    return [F.round(F.sum(n), 4).alias(n) for n in names]
+    return [F.round(F.sum(n), 2).alias(n) for n in names]
 
 
 @register("o08_drop_identifiers", """
@@ -31,8 +31,8 @@ def drop_identifiers(spark, sf_dir):
 
 @register("o09_fill_gaps", "WITH " + DIRTY_SQL + """
 SELECT client, count(*) AS n,
-       round(sum(CASE WHEN quantity IS NULL THEN 0 ELSE quantity END), 4) AS quantity,
-       round(sum(CASE WHEN tax IS NULL THEN 0 ELSE tax END), 4) AS tax,
+       round(sum(CASE WHEN quantity IS NULL THEN 0 ELSE quantity END), 2) AS quantity,
+       round(sum(CASE WHEN tax IS NULL THEN 0 ELSE tax END), 2) AS tax,
        count(*) FILTER (WHERE coalesce("Label", '0') = '0') AS unlabelled,
        count(*) FILTER (WHERE isnan(price)) * 0 AS price_gaps
 FROM dirty GROUP BY client""")
@@ -46,13 +46,13 @@ def fill_gaps(spark, sf_dir):
 
 
 @register("o10_trim_headers", "WITH " + FLOWS_SQL + """
-SELECT client, round(sum(quantity), 4) AS f01, round(sum(price), 4) AS f02, round(sum(tax), 4) AS "f02.1"
+SELECT client, round(sum(quantity), 2) AS f01, round(sum(price), 2) AS f02, round(sum(tax), 2) AS "f02.1"
 FROM flows GROUP BY client""")
 def trim_headers(spark, sf_dir):
     f = flows(spark, sf_dir).select("client", "quantity", "price", "tax")
     trimmed = c.trim_headers(f.toDF("client ", " f01", "f02 ", " f02"))
     return trimmed.groupBy("client").agg(
-        *[F.round(F.sum(F.col(f"`{n}`")), 4).alias(n) for n in ("f01", "f02", "f02.1")]
+        *[F.round(F.sum(F.col(f"`{n}`")), 2).alias(n) for n in ("f01", "f02", "f02.1")]
     )
 
 
@@ -64,7 +64,7 @@ def finite_sql(column: str) -> str:
 
 
 @register("o11_repair_infinities", "WITH " + DIRTY_SQL + "\nSELECT client, count(*) AS n, " + ", ".join(
-    f"round(sum({finite_sql(f)}), 4) AS {f}" for f in FEATURES) + "\nFROM dirty GROUP BY client")
+    f"round(sum({finite_sql(f)}), 2) AS {f}" for f in FEATURES) + "\nFROM dirty GROUP BY client")
 def repair_infinities(spark, sf_dir):
     repaired = c.repair_infinities(dirty_flows(spark, sf_dir), FEATURES)
     return repaired.groupBy("client").agg(F.count("*").alias("n"), *_sums(*FEATURES))
@@ -89,13 +89,13 @@ def encode_label(spark, sf_dir):
 
 
 @register("o14_assemble_features", "WITH " + FLOWS_SQL + """
-SELECT attack, count(*) AS n, CAST(4 AS INT) AS width, round(sum(quantity), 4) AS first, round(sum(tax), 4) AS last
+SELECT attack, count(*) AS n, CAST(4 AS INT) AS width, round(sum(quantity), 2) AS first, round(sum(tax), 2) AS last
 FROM flows GROUP BY attack""")
 def assemble_features(spark, sf_dir):
     x = c.assemble_features(flows(spark, sf_dir), FEATURES)
     return x.groupBy("attack").agg(
         F.count("*").alias("n"), F.max(F.size("features")).alias("width"),
-        F.round(F.sum(F.col("features")[0]), 4).alias("first"), F.round(F.sum(F.col("features")[3]), 4).alias("last"),
+        F.round(F.sum(F.col("features")[0]), 2).alias("first"), F.round(F.sum(F.col("features")[3]), 2).alias("last"),
     )
 
 
@@ -124,7 +124,7 @@ def check_width(spark, sf_dir):
 
 
 @register("o39_append_tables", "WITH " + FLOWS_SQL + """
-SELECT client, count(*) AS n, round(sum(price), 4) AS price FROM flows GROUP BY client""")
+SELECT client, count(*) AS n, round(sum(price), 2) AS price FROM flows GROUP BY client""")
 def append_tables(spark, sf_dir):
     f = flows(spark, sf_dir)
     parts = [f.where(F.col("client") == i).select("client", "price") for i in (1, 2, 3)]

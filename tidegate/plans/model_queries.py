@@ -233,7 +233,7 @@ def forest(spark, sf_dir):
 
 @register("o49_support_vectors")
 def svm(spark, sf_dir):
-    return _client_accuracy(classifiers.support_vectors(*_train_test_rows(spark, sf_dir)))
+    return _client_accuracy(classifiers.support_vectors(*_train_test_rows(spark, sf_dir), iterations=50))
 
 
 @register("o50_central_perceptron")
@@ -247,7 +247,7 @@ def model_comparison(spark, sf_dir):
     rows = written(numbered(prepared(spark, sf_dir)).withColumnRenamed("client", "dataset"), "rows")
     chosen = {
         "DecisionTree": partial(classifiers.decision_tree, max_depth=8),
-        "SVM": partial(classifiers.support_vectors, rbf=False),
+        "SVM": partial(classifiers.support_vectors, rbf=False, iterations=20),
     }
     accuracies = classifiers.compare_models(rows, ["row_id"], SHARE, 2, chosen)
     return classifiers.comparison_summary(accuracies).select(

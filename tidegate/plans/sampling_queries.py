@@ -10,12 +10,12 @@ from .views import FEATURES, FLOWS_SQL, KEY, SHARE, SPLIT_SQL, draw_sql, flows
 
 
 @register("o17_train_test_split", "WITH " + SPLIT_SQL + """
-SELECT client, is_test, count(*) AS n, round(sum(price), 4) AS price, min(flow_key) AS first_key
+SELECT client, is_test, count(*) AS n, round(sum(price), 2) AS price, min(flow_key) AS first_key
 FROM split GROUP BY ALL""")
 def train_test_split(spark, sf_dir):
     marked = s.split_by_share(flows(spark, sf_dir), SHARE, KEY)
     return marked.groupBy("client", "is_test").agg(
-        F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("price"), F.min("flow_key").alias("first_key")
+        F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"), F.min("flow_key").alias("first_key")
     )
 
 
@@ -38,13 +38,13 @@ def shuffle_rows(spark, sf_dir):
 
 
 @register("o19_mini_batches", _ORDERED.format(epoch=0) + """
-SELECT client, CAST(row_idx // 32 AS BIGINT) AS batch_id, count(*) AS n, round(sum(price), 4) AS price
+SELECT client, CAST(row_idx // 32 AS BIGINT) AS batch_id, count(*) AS n, round(sum(price), 2) AS price
 FROM ordered GROUP BY ALL""")
 def mini_batches(spark, sf_dir):
     f = flows(spark, sf_dir).select("client", "flow_key", "price")
     batches = s.mini_batches(s.shuffle_rows(f, KEY))
     return batches.groupBy("client", "batch_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("price")
+        F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price")
     )
 
 
@@ -52,18 +52,25 @@ _HOLDOUT = "WITH " + SPLIT_SQL + """,
 holdout AS (SELECT * FROM split WHERE is_test)"""
 
 
-@register("o20_mixture_sample", _HOLDOUT + f""",
+MIXED_SQL = _HOLDOUT + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY md5('mix:' || flow_key)) - 1 AS row_idx FROM holdout),
 sizes AS (SELECT client, count(*) AS n, row_number() OVER (ORDER BY client) - 1 AS pos FROM holdout GROUP BY client),
 slots AS (SELECT i AS slot, {draw_sql("'mix-group:' || i")} % (SELECT count(*) FROM sizes) AS pos,
                  {draw_sql("'mix-row:' || i")} AS draw
           FROM range((SELECT count(*) // 3 FROM holdout)) t(i))
-SELECT s.slot, r.client, r.flow_key, r.price, r.attack
-FROM slots s JOIN sizes z USING (pos) JOIN ranked r ON r.client = z.client AND r.row_idx = s.draw % z.n""")
+mixed AS (SELECT s.slot, r.* FROM slots s JOIN sizes z USING (pos)
+          JOIN ranked r ON r.client = z.client AND r.row_idx = s.draw % z.n)"""
+
+
+def mixture(holdout):
+    """As many rows as the mean hold-out has, a client uniformly and then one of its rows."""
+    return s.mixture_sample(holdout, s.mean_holdout_size(holdout).first()[0], KEY)
+
+
+@register("o20_mixture_sample", MIXED_SQL + """
+SELECT slot, client, flow_key, price, attack FROM mixed""")
 def mixture_sample(spark, sf_dir):
-    holdout = s.train_test(flows(spark, sf_dir), SHARE, KEY)[1]
-    size = s.mean_holdout_size(holdout).first()[0]
-    mixed = s.mixture_sample(holdout, size, KEY)
+    mixed = mixture(s.train_test(flows(spark, sf_dir), SHARE, KEY)[1])
     return mixed.select("slot", "client", "flow_key", "price", "attack")
 
 
@@ -125,3 +132,18 @@ def robust_scaler_narrowed(spark, sf_dir):
 @register("o24_per_client_scaler", _scaled("client, ", "avg({c})", "stddev_pop({c})"))
 def per_client_scaler(spark, sf_dir):
     return _fitted(spark, sf_dir, scaling.fit_standard, ["client"])
+
+
+@register("o24_scaled_mixture", MIXED_SQL + """,
+stats AS (SELECT client, avg(price) AS m, stddev_pop(price) AS s FROM split WHERE NOT is_test GROUP BY client)
+SELECT client, count(*) AS n, round(avg((price - m) / s), 6) AS mean_price, round(avg(price), 3) AS raw_price
+FROM mixed JOIN stats USING (client) GROUP BY client""")
+def scaled_mixture(spark, sf_dir):
+    """The mixed test set, scaled with its source client's statistics; the raw form beside it."""
+    train, test = s.train_test(flows(spark, sf_dir), SHARE, KEY)
+    raw = mixture(test).select("client", "price", F.col("price").alias("raw_price"))
+    mixed = scaling.scale(raw, scaling.fit_standard(train, ["price"]), ["price"])
+    return mixed.groupBy("client").agg(
+        F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean_price"),
+        F.round(F.avg("raw_price"), 3).alias("raw_price"),
+    )

@@ -52,14 +52,14 @@ def _through_csv(spark, df, schema):
 
 
 @register("o01_csv_scan", "WITH " + DIRTY_SQL + "\nSELECT client, count(*) AS n, " + ", ".join(
-    f"count({c}) AS n_{c}, round(sum({finite_sql(c)}), 4) AS {c}" for c in FEATURES
+    f"count({c}) AS n_{c}, round(sum({finite_sql(c)}), 2) AS {c}" for c in FEATURES
 ) + """, count(*) FILTER (WHERE isinf(price)) AS n_inf, count(*) FILTER (WHERE isnan(price)) AS n_nan,
 count(*) FILTER (WHERE "Label" IS NULL) AS unlabelled FROM dirty GROUP BY client""")
 def csv_scan(spark, sf_dir):
     """Dirty flows through a CSV file with header: gaps, NaN and infinities must survive."""
     d = dirty_flows(spark, sf_dir).select("client", *FEATURES, "Label")
     back = _through_csv(spark, d, d.schema)
-    clean = [F.round(F.sum(x), 4) for x in (
+    clean = [F.round(F.sum(x), 2) for x in (
         F.when((F.col(c) < float("inf")) & (F.col(c) > float("-inf")), F.col(c)).otherwise(0.0) for c in FEATURES
     )]
     return back.groupBy("client").agg(
@@ -71,7 +71,7 @@ def csv_scan(spark, sf_dir):
 
 
 @register("o02_client_catalog", "WITH " + FLOWS_SQL + """
-SELECT client, count(*) AS n, round(sum(price), 4) AS price FROM flows WHERE client <> 2 GROUP BY client""")
+SELECT client, count(*) AS n, round(sum(price), 2) AS price FROM flows WHERE client <> 2 GROUP BY client""")
 def client_catalog(spark, sf_dir):
     """One file per client, read back as one table; two of the three clients asked for."""
     folder = scratch_path(spark, "clients")
@@ -79,27 +79,27 @@ def client_catalog(spark, sf_dir):
     src.write_by_client(f, folder)
     paths = src.catalog(folder, {i: f"client={i}" for i in (1, 2, 3)})
     both = src.read_catalog(spark, paths, f.drop("client").schema, "parquet", clients=[1, 3])
-    return both.groupBy("client").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("price"))
+    return both.groupBy("client").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
 
 
 @register("o02_partition_pruned_scan", "WITH " + FLOWS_SQL + """
-SELECT client, count(*) AS n, round(sum(price), 4) AS price FROM flows WHERE client = 2 GROUP BY client""")
+SELECT client, count(*) AS n, round(sum(price), 2) AS price FROM flows WHERE client = 2 GROUP BY client""")
 def partition_pruned_scan(spark, sf_dir):
     path = scratch_path(spark, "by-client")
     src.write_by_client(flows(spark, sf_dir).select("client", "price"), path)
     one = spark.read.parquet(path).where(F.col("client") == 2)
-    return one.groupBy("client").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("price"))
+    return one.groupBy("client").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
 
 
 @register("o03_positional_test_set", "WITH " + FLOWS_SQL + """
 SELECT attack AS label, count(*) AS n, CAST(4 AS INT) AS width,
-       round(sum(quantity + price + discount + tax), 3) AS total
+       round(sum(quantity + price + discount + tax), 2) AS total
 FROM flows GROUP BY attack""")
 def positional_test_set(spark, sf_dir):
     t = src.positional_test_set(flows(spark, sf_dir).select(*FEATURES, "attack"), width=4)
     total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
     return t.groupBy("label").agg(
-        F.count("*").alias("n"), F.max(F.size("features")).alias("width"), F.round(F.sum(total), 3).alias("total")
+        F.count("*").alias("n"), F.max(F.size("features")).alias("width"), F.round(F.sum(total), 2).alias("total")
     )
 
 

@@ -138,6 +138,23 @@ def duplicate_flows(spark, sf_dir):
     )
 
 
+@register("o61_late_flows", "WITH " + EVENTS_SQL + f""",
+timely AS (SELECT * FROM flow_events WHERE ts >= TIMESTAMP '2024-01-16'),
+counts AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, client, count(*) AS flows FROM timely GROUP BY ALL)
+SELECT {CLOCK_SQL.format("window_start")} AS window_start, client, flows FROM counts
+WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM timely)""")
+def late_flows(spark, sf_dir):
+    """The second half of the month arrives first; the first half comes too late and is left out."""
+    folder, out, state = (scratch_path(spark, name) for name in ("late-in", "late-out", "late-state"))
+    e = table(spark, sf_dir, "events")
+    for part in (F.col("ts") >= "2024-01-16", F.col("ts") < "2024-01-16"):
+        e.where(part).write.mode("append").parquet(folder)
+        rows = as_stream_rows(stream.open_stream(spark, folder, e.schema))
+        counts = stream.window_counts(rows, "malicious", window="6 hours")
+        stream.write_parquet(counts, out, state).awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out).select(_clock("window_start"), "client", "flows")
+
+
 @register("o62_alert_upsert", "WITH " + EVENTS_SQL + f"""
 SELECT {CLOCK_SQL.format("time_bucket(INTERVAL '6 hours', ts)")} AS window_start, client, count(*) AS flows,
        CAST(sum(CAST(malicious AS BIGINT)) AS BIGINT) AS malicious
