@@ -69,3 +69,16 @@ def test_approximate_robust_is_close(spark):
     df, client, values = frame(spark)
     stats = scaling.fit_robust(df, ["a"], approximate=True).where("client = 1").first()
     assert stats["center_a"] == pytest.approx(np.median(values[client == 1][:, 0]), rel=0.01)
+
+
+def test_brackets_on_a_larger_table(spark):
+    """Enough rows for real brackets; the two paths must agree to the last digit."""
+    df = spark.range(120_000).select(
+        (F.col("id") % 2).cast("int").alias("client"), F.sin(F.col("id") * 1.7).alias("a"),
+        F.floor(F.rand(1) * 4).cast("double").alias("b"), F.exp(F.randn(2) * 3).alias("c"),
+    )
+    direct = exact_quantiles(df, ["a", "b", "c"], PROBS, ["client"])
+    narrowed = exact_quantiles(df, ["a", "b", "c"], PROBS, ["client"], direct_rows=0, window_rows=50)
+    key = lambda r: (r["client"], r["column"], r["prob"])
+    for a, b in zip(sorted(direct.collect(), key=key), sorted(narrowed.collect(), key=key), strict=True):
+        assert key(a) == key(b) and a["value"] == pytest.approx(b["value"], rel=1e-12)

@@ -19,6 +19,7 @@ PERCENTILE_CELLS = 4_000_000  # values (rows × columns) of one group the built-
 SKETCH = 10_000               # approx_percentile accuracy: rank error n / SKETCH
 MARGIN = 3.0 / SKETCH
 COLUMNS_PER_PASS = 26         # keeps the counting aggregation small enough to compile
+FEW_ROWS = 20_000             # below, the bracket is the whole range
 WINDOW_ROWS = 2_000_000       # distinct values one window partition may order
 SPLITS = 1_000
 
@@ -55,6 +56,17 @@ def exact_quantiles(
 
 
 def _narrowed(df, columns, probs, groups, window_rows):
+    """Quantiles by brackets; a rank outside its bracket, against the sketch's promise, is sought in the whole range."""
+    found = pinned(_bracketed(df, columns, probs, groups, window_rows, whole=False))
+    missed = found.where(F.col("value").isNull())
+    if missed.isEmpty():
+        return found
+    again = [r["column"] for r in missed.select("column").distinct().collect()]
+    rest = _bracketed(df, again, probs, groups, window_rows, whole=True)
+    return found.where(~F.col("column").isin(again)).unionByName(rest)
+
+
+def _bracketed(df, columns, probs, groups, window_rows, whole):
     targets = [(c, p) for c in columns for p in probs]
     edges = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
 
@@ -70,8 +82,9 @@ def _narrowed(df, columns, probs, groups, window_rows):
     brackets = []
     for c, p in targets:
         i = probs.index(p)
-        low = F.col(f"min_{c}") if p - MARGIN <= 0 else F.col(f"e_{c}")[2 * i]
-        high = F.col(f"max_{c}") if p + MARGIN >= 1 else F.col(f"e_{c}")[2 * i + 1]
+        few = F.lit(whole) | (F.col(f"n_{c}") < FEW_ROWS)
+        low = F.when(few | F.lit(p - MARGIN <= 0), F.col(f"min_{c}")).otherwise(F.col(f"e_{c}")[2 * i])
+        high = F.when(few | F.lit(p + MARGIN >= 1), F.col(f"max_{c}")).otherwise(F.col(f"e_{c}")[2 * i + 1])
         brackets.append((low.alias(f"lo_{c}_{i}"), high.alias(f"hi_{c}_{i}")))
     limits = pinned(wide.select(
         *groups, *[F.col(f"n_{c}") for c in columns], *[x for pair in brackets for x in pair]
@@ -179,6 +192,8 @@ def _select_ranks(candidates, facts, groups, window_rows):
     def at(rank):
         return F.max(F.when((F.col("_end") > F.col(rank)) & (F.col("_end") - F.col("c") <= F.col(rank)), F.col("value")))
 
-    return placed.groupBy(*keys, "frac").agg(at("k0").alias("_v0"), at("k1").alias("_v1")).select(
+    # a target without candidates keeps its row, with a NULL value
+    picked = placed.groupBy(*keys, "frac").agg(at("k0").alias("_v0"), at("k1").alias("_v1"))
+    return facts.select(*keys).join(picked, keys, "left").select(
         *keys, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("frac")).alias("value")
     )

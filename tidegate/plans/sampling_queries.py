@@ -57,7 +57,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY md5('mix:'
 sizes AS (SELECT client, count(*) AS n, row_number() OVER (ORDER BY client) - 1 AS pos FROM holdout GROUP BY client),
 slots AS (SELECT i AS slot, {draw_sql("'mix-group:' || i")} % (SELECT count(*) FROM sizes) AS pos,
                  {draw_sql("'mix-row:' || i")} AS draw
-          FROM range((SELECT count(*) // 3 FROM holdout)) t(i))
+          FROM range((SELECT count(*) // 3 FROM holdout)) t(i)),
 mixed AS (SELECT s.slot, r.* FROM slots s JOIN sizes z USING (pos)
           JOIN ranked r ON r.client = z.client AND r.row_idx = s.draw % z.n)"""
 
