@@ -32,11 +32,15 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return as_stream_rows(stream.open_stream(spark, sf_dir, schema, glob="events.parquet"))
 
 
+def _cores(spark) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _finished(spark, rows: DataFrame) -> DataFrame:
     """Run to the end of the input into Parquet and read it back."""
     path = scratch_path(spark, "stream-out")
     schema = rows.schema
-    query = stream.write_parquet(rows, path, scratch_path(spark, "stream-state"))
+    query = stream.write_parquet(rows, path, scratch_path(spark, "stream-state"), partitions=_cores(spark))
     query.awaitTermination()
     return spark.read.schema(schema).parquet(path)
 
@@ -140,9 +144,9 @@ def duplicate_flows(spark, sf_dir):
 
 @register("o61_late_flows", "WITH " + EVENTS_SQL + f""",
 timely AS (SELECT * FROM flow_events WHERE ts >= TIMESTAMP '2024-01-16'),
-counts AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, client, count(*) AS flows FROM timely GROUP BY ALL)
+counts AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, client, count(*) AS flows FROM timely GROUP BY ALL)
 SELECT {CLOCK_SQL.format("window_start")} AS window_start, client, flows FROM counts
-WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM timely)""")
+WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM timely)""")
 def late_flows(spark, sf_dir):
     """The second half of the month arrives first; the first half comes too late and is left out."""
     folder, out, state = (scratch_path(spark, name) for name in ("late-in", "late-out", "late-state"))
@@ -150,18 +154,18 @@ def late_flows(spark, sf_dir):
     for part in (F.col("ts") >= "2024-01-16", F.col("ts") < "2024-01-16"):
         e.where(part).write.mode("append").parquet(folder)
         rows = as_stream_rows(stream.open_stream(spark, folder, e.schema))
-        counts = stream.window_counts(rows, "malicious", window="6 hours")
-        stream.write_parquet(counts, out, state).awaitTermination()
+        counts = stream.window_counts(rows, "malicious", window="1 hour")
+        stream.write_parquet(counts, out, state, partitions=_cores(spark)).awaitTermination()
     return spark.read.schema(counts.schema).parquet(out).select(_clock("window_start"), "client", "flows")
 
 
 @register("o62_alert_upsert", "WITH " + EVENTS_SQL + f"""
-SELECT {CLOCK_SQL.format("time_bucket(INTERVAL '6 hours', ts)")} AS window_start, client, count(*) AS flows,
+SELECT {CLOCK_SQL.format("time_bucket(INTERVAL '1 hour', ts)")} AS window_start, client, count(*) AS flows,
        CAST(sum(CAST(malicious AS BIGINT)) AS BIGINT) AS malicious
 FROM flow_events GROUP BY ALL""")
 def alert_upsert(spark, sf_dir):
     """Running counts per window, upserted by batch; open windows are there too."""
     path = scratch_path(spark, "alerts")
-    counts = stream.window_counts(_event_stream(spark, sf_dir), "malicious", window="6 hours")
-    stream.upsert(counts, path, scratch_path(spark, "alert-state")).awaitTermination()
+    counts = stream.window_counts(_event_stream(spark, sf_dir), "malicious", window="1 hour")
+    stream.upsert(counts, path, scratch_path(spark, "alert-state"), partitions=_cores(spark)).awaitTermination()
     return stream.latest(spark, path).select(_clock("window_start"), "client", "flows", "malicious")

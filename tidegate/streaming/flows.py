@@ -22,6 +22,7 @@ ALERT_WINDOW = "5 minutes"
 SESSION_GAP = "30 minutes"
 
 MERGE_SESSIONS = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
+STATE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def open_stream(
@@ -92,28 +93,44 @@ def attack_sessions(
     )
 
 
-def _start(df: DataFrame, checkpoint: str, configure) -> StreamingQuery:
-    """Start with partial session merging; the running query keeps the setting it started with."""
+def _start(df: DataFrame, checkpoint: str, partitions: int | None, configure) -> StreamingQuery:
+    """Start with partial session merging and the wanted number of state partitions.
+
+    The running query keeps the settings it started with; the session gets its own back.
+    """
     conf = df.sparkSession.conf
-    before = conf.get(MERGE_SESSIONS, "false")
-    conf.set(MERGE_SESSIONS, "true")
+    wanted = {MERGE_SESSIONS: "true"}
+    if partitions:
+        wanted[STATE_PARTITIONS] = str(partitions)
+    before = {name: conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        conf.set(name, value)
     try:
         return configure(df.writeStream.option("checkpointLocation", checkpoint)).start()
     finally:
-        conf.set(MERGE_SESSIONS, before)
+        for name, value in before.items():
+            if value is None:
+                conf.unset(name)
+            else:
+                conf.set(name, value)
 
 
-def write_parquet(df: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
-    """Append to Parquet, exactly once; ``once`` takes what is there and stops."""
+def write_parquet(
+    df: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "1 minute", partitions: int | None = None
+) -> StreamingQuery:
+    """Append to Parquet, exactly once; ``once`` takes what is there and stops.
+
+    ``partitions`` of the state are fixed by the first start; adaptive execution does not change them.
+    """
     def configure(writer):
         writer = writer.format("parquet").outputMode("append").option("path", path)
         return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
 
-    return _start(df, checkpoint, configure)
+    return _start(df, checkpoint, partitions, configure)
 
 
 def upsert(
-    df: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "1 minute"
+    df: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "1 minute", partitions: int | None = None
 ) -> StreamingQuery:
     """Updated rows per micro-batch, each batch in its own folder; a repeated batch replaces itself.
 
@@ -126,7 +143,7 @@ def upsert(
         writer = writer.outputMode("update").foreachBatch(save)
         return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
 
-    return _start(df, checkpoint, configure)
+    return _start(df, checkpoint, partitions, configure)
 
 
 def latest(spark: SparkSession, path: str, key: Sequence[str] = ("window_start", "client")) -> DataFrame:
