@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules, simhash, toxicity, warc
+from . import decontamination, html_extraction, packing, quality_rules, simhash, toxicity, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,23 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @register
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
+# The pages' layout, with their character references, written out as patterns.
+ORACLES["op9_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(
+        regexp_split_to_array(regexp_replace(replace(h, '<br>', ' '), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+        lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'),
+                  '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))),
+        lambda x: x <> '') AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
