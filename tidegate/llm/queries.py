@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, packing, quality_rules, simhash, toxicity, warc
+from . import decontamination, html_extraction, packing, quality_rules, simhash, toxicity, url_filters, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The rules of the contract.
+URL_RULES = [
+    url_filters.Rule("net", "/", "block"), url_filters.Rule("example.net", "/en/", "allow"),
+    url_filters.Rule("example.com", "/de/", "block"), url_filters.Rule("org", "/fr/", "allow"),
+]
+
+
+@register
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(pages, URL_RULES, url_filters.learn(url_filters.labelled_by_words(pages)))
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
