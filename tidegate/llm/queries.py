@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, packing, quality_rules, simhash, toxicity, url_filters, warc
+from . import decontamination, html_extraction, licenses, packing, quality_rules, simhash, toxicity, url_filters, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,39 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
+
+
+def _license_sql() -> str:
+    """Containment of every template in every window of its grid, without signatures."""
+    rows = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(licenses.NOTICES))
+    word = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
+    return f"""
+WITH n(template, license, text) AS (VALUES {rows}),
+tw AS (SELECT template, license, regexp_extract_all(lower(text), '{word}') AS w FROM n),
+ts AS (SELECT template, license, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s,
+              len(w) - 4 AS n FROM tw WHERE len(w) >= 5),
+t AS (SELECT template, license, s, n, CAST(ceil(n * 1.5) AS BIGINT) AS width, CAST(ceil(n / 4.0) AS BIGINT) AS stride,
+             count(DISTINCT s) OVER (PARTITION BY template) AS size FROM (SELECT DISTINCT * FROM ts)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
+ds AS (SELECT doc_id, unnest(range(len(w) - 4)) AS pos, w FROM dw WHERE len(w) >= 5),
+h AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS s FROM ds),
+c AS (SELECT doc_id, template, license, size, s, stride,
+             unnest(range(greatest(0, CAST(floor((pos - width) / stride) AS BIGINT) + 1), pos // stride + 1)) AS cell
+      FROM h JOIN t USING (s)),
+k AS (SELECT doc_id, template, license, cell * stride AS start, count(DISTINCT s) / any_value(size) AS containment
+      FROM c GROUP BY ALL)
+SELECT doc_id, license, max(containment) AS containment, CAST(min(start) AS BIGINT) AS first_word,
+       count(*) AS windows
+FROM (SELECT doc_id, template, license, start, max(containment) AS containment FROM k GROUP BY ALL)
+WHERE containment >= 0.8 GROUP BY doc_id, license"""
+
+
+ORACLES["op8_license_scans"] = _license_sql()
+
+
 @register
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
