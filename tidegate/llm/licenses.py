@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import written
 
+MAX_KEYS = 100_000       # shingles that all templates' signatures may hold together, as they are constants of the scan
 WORD = "[\\p{L}\\p{N}]+(?:[.\\-][\\p{L}\\p{N}]+)*"
 
 # Notices that public licenses ask for or that are in common use.
@@ -111,6 +112,8 @@ def scan(
         "*", _least(F.col("wanted"), F.col("band")).alias("value")).select(
         "*", F.explode("wanted").alias("key")).where(F.xxhash64("key", "band") == F.col("value")))
     bounds = minima.agg(F.max("width").alias("width"), F.collect_set("key").alias("keys")).first()
+    if len(bounds.keys) > MAX_KEYS:
+        raise ValueError(f"templates with more than {MAX_KEYS} signature shingles: scan them in parts")
     reach = bounds.width or 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
     rows = rows.select("doc_id", _shingles(F.col("words"), scan.shingle).alias("shingles"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, licenses, packing, quality_rules, simhash, toxicity, url_filters, warc
+from . import chat, decontamination, html_extraction, licenses, packing, quality_rules, simhash, toxicity, url_filters, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,93 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Tools of the view below; some of its calls break their schemas on purpose.
+TOOLS = [
+    chat.Tool("search", (chat.Field("query", "string"), chat.Field("limit", "integer"))),
+    chat.Tool("translate", (chat.Field("text", "string"), chat.Field("to", "string"))),
+    chat.Tool("summarise", (chat.Field("text", "string"), chat.Field("words", "integer", required=False))),
+]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """conversations as tool traffic: user turns are calls, assistant turns their results, system turns plain.
+
+    In the second half of every four turns a call needs the one before it.
+    """
+    n, user = F.length("text"), F.col("role") == "user"
+
+    def arguments(*fields):
+        return F.to_json(F.struct(*(f.alias(k) for k, f in fields)))
+
+    text = ("text", F.col("text"))
+    made = (
+        F.when(F.col("turn") % 3 == 0, F.when(n % 7 == 0, arguments(("query", F.col("text")), ("limit", F.lit("ten"))))
+               .otherwise(arguments(("query", F.col("text")), ("limit", n % 20))))
+        .when(F.col("turn") % 3 == 1, F.when(n % 5 == 0, arguments(text)).otherwise(arguments(("to", F.lit("en")), text)))
+        .otherwise(F.when(n % 6 == 0, arguments(text, ("style", F.lit("short")))).otherwise(arguments(("words", n), text)))
+    )
+
+    def call(turn):
+        return F.concat_ws("-", F.lit("call"), "conv_id", turn)
+
+    reply = F.col("role") == "assistant"
+    return conversations.select(
+        "conv_id", "turn", F.when(user, "call").when(reply, "result").otherwise("message").alias("kind"),
+        F.when(user, "assistant").when(reply, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(~user, F.col("text")).alias("text"),
+        F.when(user, call(F.col("turn"))).when(reply, call(F.col("turn") - 1)).alias("call_id"),
+        F.when(user, F.element_at(F.array(*map(F.lit, ("search", "translate", "summarise"))),
+                                  (F.col("turn") % 3 + 1).cast("int"))).alias("name"),
+        F.when(user, made).alias("arguments"),
+        F.when(user & (F.col("turn") % 4 >= 2), F.array(call(F.col("turn") - 2))).alias("needs"),
+    )
+
+
+@register
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(tool_messages(table(spark, sf_dir, "conversations")), TOOLS)
+
+
+# In the view no chain of needs is longer than one, and every call id is used by one call.
+ORACLES["op7_chat_formatting"] = """
+WITH m AS (
+  SELECT conv_id, turn, text, length(text) AS n, role AS r,
+         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'tool' ELSE role END AS role,
+         CASE role WHEN 'user' THEN 'call-' || conv_id || '-' || turn
+                   WHEN 'assistant' THEN 'call-' || conv_id || '-' || (turn - 1) END AS call_id,
+         CASE WHEN role = 'user' AND turn % 4 >= 2 THEN 'call-' || conv_id || '-' || (turn - 2) END AS need
+  FROM conversations),
+c AS (SELECT call_id FROM m WHERE kind = 'call'),
+res AS (SELECT call_id, count(*) AS results FROM m WHERE kind = 'result' GROUP BY call_id),
+lev AS (SELECT m.call_id, CASE WHEN p.call_id IS NULL THEN 0 ELSE 1 END AS level
+        FROM m LEFT JOIN c p ON m.need = p.call_id WHERE m.kind = 'call'),
+j AS (SELECT m.*, coalesce(results, 0) AS results, lev.level AS call_level FROM m
+      LEFT JOIN res ON m.call_id = res.call_id LEFT JOIN lev ON m.call_id = lev.call_id),
+a AS (SELECT *,
+        CASE turn % 3 WHEN 0 THEN CASE WHEN n % 7 = 0 THEN json_object('limit', 'ten', 'query', text)
+                                       ELSE json_object('limit', n % 20, 'query', text) END
+                      WHEN 1 THEN CASE WHEN n % 5 = 0 THEN json_object('text', text) ELSE json_object('text', text, 'to', 'en') END
+                      ELSE CASE WHEN n % 6 = 0 THEN json_object('style', 'short', 'text', text)
+                                ELSE json_object('text', text, 'words', n) END END AS args,
+        CASE turn % 3 WHEN 0 THEN CASE WHEN n % 7 = 0 THEN 'type limit' ELSE '' END
+                      WHEN 1 THEN CASE WHEN n % 5 = 0 THEN 'missing to' ELSE '' END
+                      ELSE CASE WHEN n % 6 = 0 THEN 'unknown style' ELSE '' END END AS wrong
+      FROM j)
+SELECT conv_id, turn, kind, call_id,
+       CASE kind WHEN 'call' THEN CASE WHEN results > 0 THEN 'linked' ELSE 'pending' END
+                 WHEN 'result' THEN CASE WHEN call_level IS NULL THEN 'orphan' WHEN results > 1 THEN 'duplicate' ELSE 'linked' END
+                 ELSE 'plain' END AS status,
+       CAST(coalesce(call_level, 0) AS INTEGER) AS level,
+       CASE WHEN kind = 'call' THEN wrong ELSE '' END AS errors,
+       CASE kind WHEN 'call' THEN '{"arguments":' || CAST(args AS VARCHAR) || ',"call_id":' || to_json(call_id) || ',"name":"'
+                 || ['search', 'translate', 'summarise'][turn % 3 + 1] || '"'
+                 || CASE WHEN need IS NULL THEN '' ELSE ',"needs":[' || to_json(need) || ']' END || ',"role":"assistant"}'
+            WHEN 'result' THEN '{"call_id":' || to_json(call_id) || ',"role":"tool","text":' || to_json(text) || '}'
+            ELSE '{"role":' || to_json(role) || ',"text":' || to_json(text) || '}' END AS message
+FROM a"""
+
+
 @register
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
