@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import stable
 from .tables import as_strings, collected
 
 _ROWS = 2_000
@@ -34,7 +35,7 @@ class Search:
     q: int = 8
     edits: float = 0.1          # edit budget as a share of the tile's length
     least: int = 8              # a tile's budget is lowered until the lemma asks for this many shared q-grams
-    tiles_per_pass: int = 50_000    # at most 2 ** 17
+    tiles_per_pass: int = 50_000    # at most 2 ** 16
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +268,16 @@ def _passes(benchmark: DataFrame, search: Search, item_id: str, text: str) -> It
 
     tiles = benchmark.select(F.col(item_id).cast("bigint"), F.col(text)).mapInArrow(
         tile, "item_id bigint, place int, codes array<bigint>").distinct()
-    blocks = max(1, -(-tiles.count() // max(1, search.tiles_per_pass * 4 // 5)))
-    for k in range(blocks):
-        mine = tiles.where(F.pmod(F.xxhash64("item_id", "place", "codes"), F.lit(blocks)) == k) if blocks > 1 else tiles
-        yield collected(mine, search.tiles_per_pass, "tiles of a pass")
+    tiles = stable(tiles)
+    place = F.xxhash64("item_id", "place", "codes")
+    parts = [(1, 0)]                    # tiles whose hash has the remainder in the second place
+    while parts:
+        n, k = parts.pop()
+        mine = tiles.where(F.pmod(place, F.lit(n)) == k)
+        if mine.count() > search.tiles_per_pass:
+            parts += [(2 * n, k), (2 * n, k + n)]
+        else:
+            yield collected(mine, search.tiles_per_pass, "tiles of a pass")
 
 
 MATCH = T.StructType([

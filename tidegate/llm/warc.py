@@ -79,18 +79,23 @@ class _Inflated:
     """Bytes of the gzip members of a stream, one member after the other, inflated as they are asked for."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.raw, self.at, self.member = stream, b"", 0, None
+        self.stream, self.raw, self.taken, self.member = stream, b"", 0, None
         self.ready = b""
 
+    def _read(self) -> bytes:
+        piece = self.stream.read(_PIECE)
+        self.taken += len(piece)
+        return piece
+
     def next_member(self) -> bool:
         """Go to the next member; False at the end of the stream."""
         if self.member is not None:
             self.raw = self.member.unused_data
         if not self.raw:
-            self.raw = self.stream.read(_PIECE)
+            self.raw = self._read()
             if not self.raw:
                 return False
-        self.offset = self.at
+        self.offset = self.taken - len(self.raw)
         self.member, self.ready = zlib.decompressobj(31), b""
         return True
 
@@ -100,12 +105,11 @@ class _Inflated:
             out, self.ready = self.ready, b""
             return out
         while not self.member.eof:
-            data = self.member.unconsumed_tail or self.raw or self.stream.read(_PIECE)
+            data = self.member.unconsumed_tail or self.raw or self._read()
             if not data:
                 raise ValueError(f"the archive ends inside the member at {self.offset}")
             self.raw = b""
             out = self.member.decompress(data, _PIECE)
-            self.at += len(data) - len(self.member.unconsumed_tail) - len(self.member.unused_data)
             if out:
                 return out
         return b""
