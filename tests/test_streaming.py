@@ -58,7 +58,7 @@ def test_late_rows_are_dropped_and_counted(spark, folders):
     finish(st.write_parquet(counts, out, state))
     drop_file(spark, folder, "b", [(3, 1, 1, True), (4, 120, 1, False)])       # 3 is an hour late
     query = finish(st.write_parquet(counts, out, state))
-    assert st.dropped_late_rows(query) == 1
+    assert st.dropped_late_rows(query, spark) == 1
     got = {r["window_start"]: r["flows"] for r in spark.read.parquet(out).collect()}
     assert got == {at(0): 1, at(60): 1}
 

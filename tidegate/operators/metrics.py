@@ -15,7 +15,8 @@ def label_counts(df: DataFrame, label: str = "Label") -> DataFrame:
 
 
 def is_hit(label: str = "label", pred: str = "pred") -> Column:
-    return F.col(label).eqNullSafe(F.col(pred)).cast("double")
+    """1 for a right prediction; a missing label or prediction is never right."""
+    return F.coalesce(F.col(label) == F.col(pred), F.lit(False)).cast("double")
 
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "pred", groups: Sequence[str] = ()) -> DataFrame:

@@ -100,7 +100,7 @@ def _bracketed(df, columns, probs, groups, window_rows, whole):
         F.sum(F.when(F.col(c) < F.col(f"lo_{c}_{i}"), 1).otherwise(0)).alias(f"b_{c}_{i}") for c, i in index
     ])
     facts = pinned(
-        counted.join(limits.select(*groups, *[f"n_{c}" for c in columns]), groups)
+        attach(counted, limits.select(*groups, *[f"n_{c}" for c in columns]), groups)
         .select(*groups, F.explode(F.array(*[
             F.struct(
                 F.lit(c).alias("column"), F.lit(probs[i]).alias("prob"),
@@ -194,6 +194,6 @@ def _select_ranks(candidates, facts, groups, window_rows):
 
     # a target without candidates keeps its row, with a NULL value
     picked = placed.groupBy(*keys, "frac").agg(at("k0").alias("_v0"), at("k1").alias("_v1"))
-    return facts.select(*keys).join(picked, keys, "left").select(
+    return attach(facts.select(*keys), picked, keys, "left").select(
         *keys, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("frac")).alias("value")
     )

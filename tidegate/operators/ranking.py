@@ -23,9 +23,14 @@ def ordered(groups: Sequence[str], *order):
 
 
 def attach(df: DataFrame, facts: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join per-group facts; without groups ``facts`` is one row, attached as constants."""
+    """Join per-group facts; without groups ``facts`` is one row, attached as constants.
+
+    NULL is a group like any other, so an inner join loses no row whose group has facts.
+    """
     if groups:
-        return df.join(facts, list(groups), how)
+        named = facts.withColumnsRenamed({g: f"_of_{g}" for g in groups})
+        same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]
+        return df.join(named, same, how).drop(*[f"_of_{g}" for g in groups])
     row = facts.first()
     if row is None:
         return df.where(F.lit(False)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema])
@@ -61,13 +66,18 @@ def hash_cuts(
     ``k`` is an expression over ``n`` and the group columns. ``ties`` rows share
     the cut hash, ``need`` of them are within rank k.
 
+    Rank 0 or less has the empty cut, which no hash reaches; a rank beyond ``n`` is ``n``.
+
     Hashes are spread evenly, so the k-th of n lies within a few times sqrt(n)
     ranks of k/n. One aggregation counts the rows below that bracket and the
     hashes inside it. Where many copies of one key bend the spread, the cut is
     found by prefix counts instead, which need nothing of the kind.
     """
     groups = list(groups)
-    sizes = pinned(df.groupBy(*groups).agg(F.count("*").alias("n")).withColumn("k", k.cast("bigint")))
+    sizes = pinned(df.groupBy(*groups).agg(F.count("*").alias("n")).withColumn("k", F.least(k.cast("bigint"), F.col("n"))))
+    none = pinned(sizes.where("k <= 0").select(
+        *groups, "n", "k", F.lit("").alias("cut"), F.lit(0).cast("bigint").alias("ties"), F.lit(0).cast("bigint").alias("need")))
+    sizes = sizes.where("k > 0")
     share = F.col("k") / F.col("n")
     spread = SIGMAS * F.sqrt(share * (1 - share) / F.col("n")) + 2 / F.col("n")
     brackets = sizes.withColumn("_lo", _hash_at(share - spread)).withColumn("_hi", _hash_at(share + spread))
@@ -78,9 +88,9 @@ def hash_cuts(
         F.when(F.col("_h") < F.col("_lo"), "").when(F.col("_h") <= F.col("_hi"), F.col("_h")).otherwise("~").alias("_h"),
     ).agg(F.count("*").alias("_c"), F.lit(0).cast("bigint").alias("_before"))
     cuts = _cuts(counted, groups)
-    if cuts.where(F.col("cut").isin("", "~")).isEmpty():
-        return cuts
-    return _cuts_by_prefix(base, sizes, groups, rows_per_bucket)
+    if not cuts.where(F.col("cut").isin("", "~")).isEmpty():
+        cuts = _cuts_by_prefix(base, sizes, groups, rows_per_bucket)
+    return cuts if none.isEmpty() else pinned(cuts.unionByName(none))
 
 
 def _hash_at(share: Column) -> Column:
@@ -142,7 +152,7 @@ def hash_rank(
     offsets = counts.select(*groups, "_p", (F.sum("_c").over(ordered(groups, "_p")) - F.col("_c")).alias("_offset"))
     if length == 2:
         offsets = pinned(offsets)
-    numbered = bucketed.join(offsets, [*groups, "_p"])
+    numbered = attach(bucketed, offsets, [*groups, "_p"])
     inside = F.row_number().over(ordered([*groups, "_p"], "_h"))
     return numbered.withColumn(out, (F.col("_offset") + inside - 1).cast("bigint")).drop(
         "_h", "_p", "_offset", "_copy"
@@ -154,7 +164,7 @@ def _spread_copies(bucketed: DataFrame, counts: DataFrame, groups: Sequence[str]
     bucketed = stable(bucketed.withColumn("_copy", F.monotonically_increasing_id()))
     crowded = counts.where(F.col("_c") > rows_per_bucket).drop("_c")
     hot = pinned(
-        bucketed.join(crowded, [*groups, "_p"])
+        attach(bucketed, crowded, [*groups, "_p"])
         .groupBy(*groups, "_h")
         .agg(F.count("*").alias("_copies"))
         .where(F.col("_copies") > rows_per_bucket)
@@ -162,7 +172,7 @@ def _spread_copies(bucketed: DataFrame, counts: DataFrame, groups: Sequence[str]
     second = F.substring(F.md5(F.col("_copy").cast("string").cast("binary")), 1, 4)
     own = F.concat_ws(":", "_h", second)
     return (
-        bucketed.join(hot, [*groups, "_h"], "left")
+        attach(bucketed, hot, [*groups, "_h"], "left")
         .withColumn("_p", F.when(F.col("_copies").isNotNull(), own).otherwise(F.col("_p")))
         .drop("_copies")
     )

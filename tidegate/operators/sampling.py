@@ -100,4 +100,4 @@ def mixture_sample(
         .withColumn("row_idx", draw_int(digest(f"{seed}-row", "slot")) % F.col("group_size"))
         .select("slot", group, "row_idx")
     )
-    return slots.join(ranked, [group, "row_idx"])
+    return attach(slots, ranked, [group, "row_idx"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.columns import digest, draw_unit
 from ..operators import cleaning, metrics, networks, sampling, scaling
@@ -186,19 +186,30 @@ SELECT client, count(*) AS n, round(avg(1 / (1 + exp(-(price / 50000 - 1)))), 6)
        round(sum(count(*) * avg(price)) OVER () / sum(count(*)) OVER (), 4) AS overall_price
 FROM flows GROUP BY client""")
 def user_functions(spark, sf_dir):
-    """The three kinds of user function: rows to scores, group to rows, table to table."""
+    """The three kinds of user function: rows to scores, group to rows, table to table.
+
+    Groups are a client's rows of one part, so that no client is ever whole in one task.
+    """
+    parts = max(1, spark.sparkContext.defaultParallelism * 4)
+
     @F.pandas_udf("double")
     def score(price: pd.Series) -> pd.Series:
         return 1.0 / (1.0 + np.exp(-(price / 50000 - 1)))
 
-    def metric(df):
-        return metrics.weighted_mean(df, "price", "n", [], "overall_price")
-
-    scored = flows(spark, sf_dir).select("client", "price", score("price").alias("score"))
-    per_client = scored.groupBy("client").agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("price").alias("price")
-    )
-    overall = per_client.transform(metric).first()[0]
-    return per_client.select(
-        "client", "n", F.round("mean_score", 6).alias("mean_score"), F.round(F.lit(overall), 4).alias("overall_price")
+    def summary(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        return pd.DataFrame({
+            "client": [first["client"]], "n": [len(rows)], "score": [rows["score"].sum()], "price": [rows["price"].sum()]})
+
+    def overall(df):
+        everyone = Window.partitionBy()
+        return df.withColumn("overall_price", F.sum("price").over(everyone) / F.sum("n").over(everyone))
+
+    scored = flows(spark, sf_dir).select(
+        "client", "price", score("price").alias("score"), F.pmod(F.xxhash64("flow_key"), F.lit(parts)).alias("part"))
+    sums = scored.groupBy("client", "part").applyInPandas(summary, "client int, n bigint, score double, price double")
+    per_client = sums.groupBy("client").agg(F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("price").alias("price"))
+    return per_client.transform(overall).select(
+        "client", "n", F.round(F.col("score") / F.col("n"), 6).alias("mean_score"),
+        F.round("overall_price", 4).alias("overall_price"),
     )

@@ -66,6 +66,46 @@ def read_flows(
     return reader.format(source).load(path)
 
 
+def read_flows_by_name(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+    """One CSV flow table whose columns are found by header name, in any file order.
+
+    Blanks around header names and their case do not matter; a schema column that
+    the header lacks is an error, other columns are left out. Values that are no
+    number become NULL; ``malformed_values`` counts them.
+    """
+    raw = _by_name(spark, path, schema, options)
+    return raw.select(*[
+        F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields
+    ])
+
+
+def malformed_values(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+    """(column, malformed) of the table's columns: values that are there but do not fit the column's type."""
+    raw = _by_name(spark, path, schema, options)
+    bad = raw.agg(*[
+        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+        for f in schema.fields
+    ])
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("malformed")) for f in schema.fields
+    ]))
+    return bad.select(cells.alias("c")).select("c.*")
+
+
+def _by_name(spark: SparkSession, path: str, schema: T.StructType, options: Mapping) -> DataFrame:
+    """The schema's columns as text."""
+    raw = spark.read.options(header=True, **options).csv(path)
+    places = {}
+    for c in raw.columns:
+        places.setdefault(c.strip().lower(), c)
+    missing = [f.name for f in schema.fields if f.name.strip().lower() not in places]
+    if missing:
+        raise ValueError(f"{path}: no columns {missing}")
+    return raw.select(*[
+        F.trim(F.col("`" + places[f.name.strip().lower()].replace("`", "``") + "`")).alias(f.name) for f in schema.fields
+    ])
+
+
 def catalog(folder: str, files: Mapping[int, str]) -> dict[int, str]:
     """Client number to path."""
     return {client: f"{folder.rstrip('/')}/{name}" for client, name in files.items()}

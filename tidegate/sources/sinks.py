@@ -30,9 +30,9 @@ def write_accuracy_report(accuracies: DataFrame, path: str) -> bool:
     return True
 
 
-def save_parameters(params: DataFrame, path: str, mode: str = "append") -> None:
-    """Averaged parameters, one folder per round; the history of rounds is kept."""
-    params.write.mode(mode).partitionBy("round").parquet(path)
+def save_parameters(params: DataFrame, path: str) -> None:
+    """Averaged parameters, one folder per round; a round saved again replaces itself, the others stay."""
+    params.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(path)
 
 
 def load_parameters(spark: SparkSession, path: str, layout: Layout, round_: int | None = None) -> list[float]:

@@ -7,10 +7,11 @@ streaming ends.
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.cleaning import repair_infinities
 from ..operators.networks import Layout, score
@@ -80,9 +81,12 @@ def attack_sessions(
 ) -> DataFrame:
     """Runs of malicious flows of one source with no pause of ``gap`` or more.
 
-    ``start`` turns on partial sessions before the shuffle, so a source that
-    sends a third of all flows reaches its reducer as a few partial sessions.
+    Partial sessions are merged before the shuffle, so a source that sends a
+    third of all flows reaches its reducer as a few of them. Starting a stream
+    turns that on for its query; for a table it is turned on in the session.
     """
+    if not flows.isStreaming:
+        flows.sparkSession.conf.set(MERGE_SESSIONS, "true")
     attack = flows.where(F.col(malicious))
     if lateness:
         attack = attack.withWatermark(time, lateness)
@@ -99,6 +103,7 @@ def _start(df: DataFrame, checkpoint: str, partitions: int | None, configure) ->
     The running query keeps the settings it started with; the session gets its own back.
     """
     conf = df.sparkSession.conf
+    late_rows(df.sparkSession)
     wanted = {MERGE_SESSIONS: "true"}
     if partitions:
         wanted[STATE_PARTITIONS] = str(partitions)
@@ -154,9 +159,45 @@ def latest(spark: SparkSession, path: str, key: Sequence[str] = ("window_start",
     return newest.select(*key, "_row.*")
 
 
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows the query's stateful operators dropped as later than the watermark."""
-    return sum(
-        state.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress for state in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Adds up, over all batches of every query, the rows that came after the watermark."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.batch: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress, query = event.progress, str(event.progress.runId)
+        late = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+        self.dropped[query] = self.dropped.get(query, 0) + late
+        self.batch[query] = progress.batchId
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def late_rows(spark: SparkSession) -> LateRows:
+    """The session's counter, listening from the first call on."""
+    counter = getattr(spark, "_late_rows", None)
+    if counter is None:
+        counter = spark._late_rows = LateRows()
+        spark.streams.addListener(counter)
+    return counter
+
+
+def dropped_late_rows(query: StreamingQuery, spark: SparkSession, patience: float = 10.0) -> int:
+    """Rows the query's stateful operators dropped as later than the watermark, over all its batches.
+
+    Counts arrive a moment after a batch; the last batch's are waited for.
+    """
+    counter, run, last = late_rows(spark), str(query.runId), query.lastProgress
+    until = clock.monotonic() + patience
+    while last and counter.batch.get(run, -1) < last["batchId"] and clock.monotonic() < until:
+        clock.sleep(0.05)
+    return counter.dropped.get(run, 0)
