@@ -80,3 +80,17 @@ def test_trials_round_trip(spark, tmp_path):
         path = str(tmp_path / source)
         sinks.write_trials(trials, path, source)
         assert rows(sinks.read_trials(spark, path, schema, source)) == rows(trials)
+
+
+def test_columns_by_header_name(spark, tmp_path):
+    path = tmp_path / "day.csv"
+    path.write_text(" Label ,F02, f01 ,extra\nBENIGN,2.5,1,x\nDoS,inf,bad,y\nDoS,,NaN,z\n")
+    schema = src.day_schema(["f01", "f02"])
+    got = src.read_flows_by_name(spark, str(path), schema)
+    assert got.columns == ["f01", "f02", "Label"]
+    assert [repr(tuple(r)) for r in got.collect()] == [
+        "(1.0, 2.5, 'BENIGN')", "(None, inf, 'DoS')", "(nan, None, 'DoS')"]
+    counts = {r["column"]: r["malformed"] for r in src.malformed_values(spark, str(path), schema).collect()}
+    assert counts == {"f01": 1, "f02": 0, "Label": 0}
+    with pytest.raises(ValueError):
+        src.read_flows_by_name(spark, str(path), src.day_schema(["f03"]))

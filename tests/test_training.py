@@ -11,6 +11,24 @@ from tidegate.sources import sinks
 from conftest import rows
 
 
+def test_loss_of_large_sums_is_finite():
+    loss, _ = tr.loss_and_slope("logits", np.array([[0.0, 1000.0]]), np.array([0]))
+    assert loss == 1000.0
+
+
+@pytest.mark.parametrize("name", ["Adam", "RMSprop", "SGD"])
+def test_optimiser_state_goes_on(name):
+    """Two resumed epochs are one run of two epochs."""
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(40, NET.sizes[0])), rng.integers(0, 2, 40)
+
+    def run(epochs, start):
+        return tr.train_shard(NET, tr.Fit(name, lr=0.05, epochs=epochs, batch_size=64, resume=True), start, x, y, 0)[0]
+
+    start = np.array(initial_parameters(NET))
+    assert np.allclose(run(2, start), run(1, run(1, start)))
+
+
 def test_variant_sizes():
     assert {n: v.n_parameters for n, v in VARIANTS.items()} == {
         "v1": 1666, "v2": 4834, "v3": 1570, "v4": 49 * 32 + 32 + 11 * (32 * 32 + 32), "v5": 26882,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import largest, pinned, stable
+from ..session import SMALL_CELLS, largest, pinned, stable
 from .ranking import attach
 
 PERCENTILE_CELLS = 4_000_000  # values (rows × columns) of one group the built-in buffers may hold
@@ -157,7 +157,8 @@ def _select_ranks(candidates, facts, groups, window_rows):
                 F.array(F.min("value")),
                 F.approx_percentile("value", F.array(*map(F.lit, steps)), SKETCH),
                 F.array(F.max("value")),
-            ).alias("_cuts"))
+            ).alias("_cuts")),
+            max_rows=SMALL_CELLS // SPLITS,
         )
         spans = attach(candidates, cuts, keys).withColumn(
             "_span", F.size(F.filter("_cuts", lambda e: e < F.col("value")))

@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES, Query
 
 _TOPICS = (
-    "source_queries", "cleaning_queries", "sampling_queries", "metric_queries", "model_queries", "study_queries", "twin_queries", "wide_queries",
+    "source_queries", "cleaning_queries", "sampling_queries", "metric_queries", "model_queries", "study_queries", "twin_queries", "wide_queries", "null_queries",
     "stream_queries",
 )
 

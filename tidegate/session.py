@@ -8,8 +8,9 @@ import uuid
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Upper bound for a table that may pass through the driver and be broadcast.
+# Upper bounds for a table that may pass through the driver and be broadcast.
 SMALL_ROWS = 50_000
+SMALL_CELLS = 2_000_000
 
 
 def build_session(app: str = "tidegate", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +23,7 @@ def build_session(app: str = "tidegate", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.checkpoint.compress": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # streaming state beyond the heap
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -71,8 +73,11 @@ def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 
     A local relation carries its exact size, so Catalyst broadcasts it only when
     it fits ``spark.sql.autoBroadcastJoinThreshold``. A table with more than
-    ``max_rows`` rows is written to the shared folder and joined by shuffle.
+    ``max_rows`` rows, or with fewer of very many columns, is written to the
+    shared folder and joined by shuffle. A caller whose rows hold arrays passes
+    a ``max_rows`` that allows for their length.
     """
+    max_rows = min(max_rows, max(1, SMALL_CELLS // max(1, len(df.columns))))
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows:
         return stable(df)
