@@ -40,7 +40,7 @@ def test_federated_days(spark, tmp_path):
     width = cleaning.width_violations(ready, 78).first()
     assert (width["n_rows"], width["n_bad"]) == (912, 0)
 
-    shards = training.lay_out_shards(ready.where(~F.col("is_test")), ["row_id"], "attack")
+    shards = training.lay_out_shards(ready.where(~F.col("is_test")), ["row_id"], "attack", rows_per_shard=20_000)
     layout = networks.VARIANTS["v3"]
     run = federation.federate(shards, layout, training.Fit("SGD", lr=0.01, epochs=30, batch_size=16), rounds=3)
     holdout = sampling.mini_batches(sampling.shuffle_rows(ready.where("is_test"), ["row_id"]))

@@ -134,7 +134,7 @@ def test_one_shard_equals_plain_training(spark):
     data = separable(spark, 300, clients=1)
     start = initial_parameters(NET)
     fit = tr.Fit("SGD", epochs=2)
-    shards = tr.lay_out_shards(data, ["key"])
+    shards = tr.lay_out_shards(data, ["key"], rows_per_shard=20_000)
     got = tr.fit_shards(shards, NET, {0: (fit, start)}).first()
     local = shards.rows.collect()
     x, y = np.array([r["features"] for r in local]), np.array([r["label"] for r in local])
@@ -180,7 +180,7 @@ def test_unequal_parameter_lengths_are_an_error(spark):
 
 
 def test_too_few_clients(spark):
-    shards = tr.lay_out_shards(separable(spark, 60, clients=2), ["key"])
+    shards = tr.lay_out_shards(separable(spark, 60, clients=2), ["key"], rows_per_shard=20_000)
     with pytest.raises(ValueError):
         fed.federate(shards, NET, tr.Fit())
 

@@ -7,8 +7,9 @@ by row, then the biases. Its length depends on the layout only, never on data.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field, replace
 from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +165,14 @@ def score(
     return df.withColumn(scores, network(packed)).withColumn(pred, argmax(scores))
 
 
+def in_parts(jobs: Sequence, size: int) -> list[list]:
+    """Jobs of ``size`` values each in parts that may be broadcast together."""
+    if size > MAX_PARAMETERS:
+        raise ValueError(f"{size} values are more than the {MAX_PARAMETERS} that may be broadcast")
+    step = MAX_PARAMETERS // max(1, size)
+    return [list(jobs[at:at + step]) for at in range(0, len(jobs), step)]
+
+
 def _list_array(z: np.ndarray) -> pa.ListArray:
     ends = pa.array(np.arange(0, z.size + 1, z.shape[1], dtype="int32"))
     return pa.ListArray.from_arrays(ends, pa.array(z.ravel()))
@@ -173,10 +182,15 @@ def score_each(
     df: DataFrame, layout: Layout, models: dict[int, Sequence[float]], features: str = "features",
     model: str = "round", scores: str = "scores", pred: str = "pred",
 ) -> DataFrame:
-    """Every row with every model (``model`` holds its number), in one pass over the rows."""
-    if layout.n_parameters * len(models) > MAX_PARAMETERS:
-        raise ValueError(f"{len(models)} models of {layout.name} exceed {MAX_PARAMETERS} parameters")
+    """Every row with every model (``model`` holds its number).
+
+    One pass over the rows for as many models as ``MAX_PARAMETERS`` values hold.
+    """
     numbers = sorted(models)
+    parts = in_parts(numbers, layout.n_parameters)
+    if len(parts) > 1:
+        scored = [score_each(df, layout, {i: models[i] for i in part}, features, model, scores, pred) for part in parts]
+        return reduce(DataFrame.unionByName, scored)
     stacked = np.array([models[i] for i in numbers], dtype="float64")
     width, outputs = layout.sizes[0], layout.sizes[-1]
     sent = df.sparkSession.sparkContext.broadcast(stacked)
