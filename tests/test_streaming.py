@@ -120,3 +120,10 @@ def test_upsert_keeps_the_newest_count(spark, folders):
     finish(st.upsert(counts, out, state))
     got = st.latest(spark, out).collect()
     assert [(r["client"], r["flows"], r["malicious"]) for r in got] == [(1, 3, 2)]
+    assert st.compact(spark, out) == 2 and st.compact(spark, out) == 0
+    assert rows(st.latest(spark, out).select("client", "flows", "malicious")) == [(1, 3, 2)]
+    drop_file(spark, folder, "c", [(4, 7, 1, False), (5, 8, 2, True)])
+    finish(st.upsert(counts, out, state))
+    assert rows(st.latest(spark, out).select("client", "flows", "malicious")) == [(1, 4, 2), (2, 1, 1)]
+    assert st.compact(spark, out) == 2
+    assert rows(st.latest(spark, out).select("client", "flows", "malicious")) == [(1, 4, 2), (2, 1, 1)]

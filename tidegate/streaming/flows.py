@@ -10,6 +10,7 @@ from __future__ import annotations
 import time as clock
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -139,10 +140,10 @@ def upsert(
 ) -> StreamingQuery:
     """Updated rows per micro-batch, each batch in its own folder; a repeated batch replaces itself.
 
-    ``latest`` reads the newest row per key.
+    ``latest`` reads the newest row per key, ``compact`` merges what has gathered.
     """
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={2 * number}")
 
     def configure(writer):
         writer = writer.outputMode("update").foreachBatch(save)
@@ -159,6 +160,28 @@ def latest(spark: SparkSession, path: str, key: Sequence[str] = ("window_start",
     return newest.select(*key, "_row.*")
 
 
+def compact(spark: SparkSession, path: str, key: Sequence[str] = ("window_start", "client")) -> int:
+    """Merge the folders of an ``upsert`` into one with the newest row per key; returns the folders removed.
+
+    The merged folder gets the odd number after the last batch, which no batch
+    has. Older folders go once it is written, so a failure on the way loses
+    nothing and a reader at any time finds the same newest rows. Run it between
+    micro-batches or while the query stands still.
+    """
+    numbers = [r["batch"] for r in spark.read.parquet(path).select("batch").distinct().orderBy("batch").collect()]
+    if len(numbers) < 2:
+        return 0
+    merged = numbers[-1] | 1
+    if merged == numbers[-1]:       # merged before, its older folders are still there
+        numbers = numbers[:-1]
+    else:
+        latest(spark, path, key).write.mode("overwrite").parquet(f"{path}/batch={merged}")
+    store, base = fs.FileSystem.from_uri(path)
+    for number in numbers:
+        store.delete_dir(f"{base}/batch={number}")
+    return len(numbers)
+
+
 class LateRows(StreamingQueryListener):
     """Adds up, over all batches of every query, the rows that came after the watermark."""
 
