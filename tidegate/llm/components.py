@@ -15,7 +15,8 @@ from ..session import stable
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u, v) hold u > v. One star step; the result again has u > v, without repeats."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored, so that the join's two sides are plain shuffles and a crowded vertex can be split
+    least = stable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     joined = both.join(least, "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -164,7 +164,8 @@ def groups(signed: DataFrame, mark: str, doc_id: str = "doc_id", distance: int =
     roots = components(links(marks.select("mark"), distance))
     rooted = marks.join(roots.withColumnRenamed("node", "mark"), "mark", "left").select(
         "mark", "least", F.coalesce("root", "mark").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that the join's two sides are plain shuffles and a large component can be split
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return rooted.join(least, "root").select("mark", "root", "component_id")
 
 
