@@ -63,8 +63,11 @@ class Scan:
 
 def notices(spark: SparkSession) -> DataFrame:
     """template, license, text of the fixed notices."""
-    return spark.createDataFrame(
-        [(k, name, text) for k, (name, text) in enumerate(NOTICES)], "template int, license string, text string")
+    rows = F.array(*(
+        F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text"))
+        for k, (name, text) in enumerate(NOTICES)
+    ))
+    return spark.range(1).select(F.explode(rows).alias("n")).select("n.*")
 
 
 def words(text: Column) -> Column:
