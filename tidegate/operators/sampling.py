@@ -30,7 +30,7 @@ def split_by_share(
 
     A row is a test row if its key hash is not above the group's exact cut, so
     the rows themselves are neither shuffled nor sorted. Copies of a key that
-    straddle the cut are told apart by a materialised row number.
+    straddle the cut, and only they, are stored and told apart by a row number.
     """
     groups = list(groups)
     h = digest(seed, *key)
@@ -39,16 +39,15 @@ def split_by_share(
     straddling = cuts.where(F.col("need") < F.col("ties"))
     if straddling.isEmpty():
         return attach(df, cuts.select(*groups, "cut"), groups).withColumn(out, h <= F.col("cut")).drop("cut")
-    numbered = stable(df.withColumn("_copy", F.monotonically_increasing_id()))
+    marked = attach(df, cuts.select(*groups, "cut", "need"), groups)
+    ties = stable(marked.where(h == F.col("cut")).withColumn("_copy", F.monotonically_increasing_id()))
     second = F.md5(F.col("_copy").cast("string").cast("binary"))
-    marked = attach(numbered, cuts.select(*groups, "cut", "need"), groups)
-    ties = marked.where(h == F.col("cut"))
     inner = hash_cuts(ties, second, F.col("need"), [*groups, "need"]).select(
         *groups, F.col("cut").alias("_inner")
     )
-    marked = attach(marked, inner, groups)
-    is_test = (h < F.col("cut")) | ((h == F.col("cut")) & (second <= F.col("_inner")))
-    return marked.withColumn(out, is_test).drop("cut", "need", "_copy", "_inner")
+    told = attach(ties, inner, groups).withColumn(out, second <= F.col("_inner"))
+    rest = marked.where(h != F.col("cut")).withColumn(out, h < F.col("cut"))
+    return rest.drop("cut", "need").unionByName(told.drop("cut", "need", "_copy", "_inner"))
 
 
 def train_test(df: DataFrame, share: float, key: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:

@@ -98,11 +98,11 @@ def shards_and_holdout(spark, sf_dir, rows_per_shard=training.ROWS_PER_SHARD):
 
 @register("o43_local_training")
 def local_training(spark, sf_dir):
-    """Two epochs per client with each optimiser; loss and accuracy per epoch."""
+    """Ten epochs per client with each optimiser; loss and accuracy per epoch."""
     shards, _ = shards_and_holdout(spark, sf_dir)
     start = initial_parameters(SMALL, "start")
     jobs = {
-        i: (training.Fit(name, lr=0.01, epochs=2), start) for i, name in enumerate(("Adam", "RMSprop", "SGD"))
+        i: (training.Fit(name, lr=0.01, epochs=10), start) for i, name in enumerate(("Adam", "RMSprop", "SGD"))
     }
     history = metrics.epoch_history(
         training.fit_history(training.fit_shards(shards, SMALL, jobs)), ["job", "client", "epoch"]
@@ -233,12 +233,12 @@ def forest(spark, sf_dir):
 
 @register("o49_support_vectors")
 def svm(spark, sf_dir):
-    return _client_accuracy(classifiers.support_vectors(*_train_test_rows(spark, sf_dir), iterations=50))
+    return _client_accuracy(classifiers.support_vectors(*_train_test_rows(spark, sf_dir)))
 
 
 @register("o50_central_perceptron")
 def central_perceptron(spark, sf_dir):
-    return _client_accuracy(classifiers.perceptron(*_train_test_rows(spark, sf_dir), hidden=(16, 16)))
+    return _client_accuracy(classifiers.perceptron(*_train_test_rows(spark, sf_dir)))
 
 
 @register("o51_model_comparison")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as s, scaling
+from ..session import written
 from .registry import register
 from .views import FEATURES, FLOWS_SQL, KEY, SHARE, SPLIT_SQL, draw_sql, flows
 
@@ -70,7 +71,7 @@ def mixture(holdout):
 @register("o20_mixture_sample", MIXED_SQL + """
 SELECT slot, client, flow_key, price, attack FROM mixed""")
 def mixture_sample(spark, sf_dir):
-    mixed = mixture(s.train_test(flows(spark, sf_dir), SHARE, KEY)[1])
+    mixed = mixture(written(s.train_test(flows(spark, sf_dir), SHARE, KEY)[1], "holdout"))
     return mixed.select("slot", "client", "flow_key", "price", "attack")
 
 
@@ -102,7 +103,7 @@ def _moments(df):
 
 
 def _fitted(spark, sf_dir, fit, groups):
-    marked = s.split_by_share(flows(spark, sf_dir), SHARE, KEY)
+    marked = written(s.split_by_share(flows(spark, sf_dir), SHARE, KEY), "split")      # fits pass over it again
     stats = fit(marked.where(~F.col("is_test")), FEATURES, groups)
     return _moments(scaling.scale(marked, stats, FEATURES, groups))
 
