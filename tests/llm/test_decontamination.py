@@ -118,3 +118,24 @@ def test_awkward_rows_and_empty_tables(spark):
 def test_long_repetitive_texts_end(text):
     indexes = D._indexes([type("R", (), dict(item_id=1, place=0, codes=D.normal("the the thing was there on the day")[0]))], D.Search())
     assert dict(D._many([text], indexes)) == {}
+
+
+def test_every_quote_of_13_words_is_found(spark):
+    """All runs of 13 words of all items, and runs of tile + 16 characters of an item without blanks."""
+    rnd = random.Random(12)
+    items = [(k, prose(rnd, n)) for k, n in enumerate((13, 14, 20, 40, 70))]
+    items += [(5, " ".join("abcdefghijklmnopqrstuvwxyz")), (6, "".join(rnd.choice(SYLLABLES) for _ in range(150)))]
+    quotes = []
+    for k, item in items:
+        w = item.split()
+        quotes += [(k, " ".join(w[a:a + 13])) for a in range(len(w) - 12)]
+    quotes += [(6, items[6][1][a:a + 112]) for a in range(len(items[6][1]) - 111)]
+    docs = [(n, f"Zq wq, xq: \"{q.upper()}\" qz qw qx.") for n, (_, q) in enumerate(quotes)]
+    docs += [(-n, prose(rnd, 60)) for n in range(1, 20)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    search = D.Search()
+    for options in (search, D.Search(tiles_per_pass=40)):
+        found = {(r.doc_id, r.item_id) for r in D.leaks(table, bench, options).collect()}
+        assert {(n, k) for n, (k, _) in enumerate(quotes)} <= found and min(d for d, _ in found) >= 0
+    assert {r.doc_id for r in D.keep_uncontaminated(table, bench).collect()} == set(range(-19, 0))
