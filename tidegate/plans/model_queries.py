@@ -228,7 +228,7 @@ def tree(spark, sf_dir):
 
 @register("o48_random_forest")
 def forest(spark, sf_dir):
-    return _client_accuracy(classifiers.random_forest(*_train_test_rows(spark, sf_dir), max_depth=10))
+    return _client_accuracy(classifiers.random_forest(*_train_test_rows(spark, sf_dir)))
 
 
 @register("o49_support_vectors")
