@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, html_extraction, licenses, packing, quality_rules, simhash, toxicity, url_filters, warc
+from . import chat, decontamination, fingerprints, html_extraction, licenses, packing, quality_rules, simhash, toxicity, url_filters, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +215,8 @@ b AS (SELECT page_id, url, list_filter(list_transform(
         lambda x: x <> '') AS blocks FROM a),
 t AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text FROM b)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
+
+
+@register
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
