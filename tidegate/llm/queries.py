@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, fingerprints, html_extraction, licenses, packing, quality_rules, simhash, toxicity, url_filters, warc
+from . import (
+    chat, decontamination, fingerprints, html_extraction, licenses, packing, quality_rules, simhash, spelling, toxicity,
+    url_filters, warc,
+)
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,6 +220,11 @@ t AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text F
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
 
 
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @register
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
