@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    chat, decontamination, fingerprints, html_extraction, licenses, packing, quality_rules, simhash, spelling, toxicity,
-    url_filters, warc,
+    chat, decontamination, fingerprints, html_extraction, licenses, packing, phrases, quality_rules, simhash, spelling,
+    toxicity, url_filters, warc,
 )
 from .tables import table
 
@@ -220,6 +220,38 @@ t AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text F
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
 
 
+@register
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')),
+       '[^ \t]+') AS w FROM documents),
+one AS (SELECT lang, unnest(w) AS phrase FROM piece),
+n AS (SELECT lang, count(*) AS n FROM one GROUP BY lang),
+two AS (SELECT lang, unnest(list_zip(w[:-2], w[2:])) AS z FROM piece WHERE len(w) > 1),
+three AS (SELECT lang, unnest(list_zip(w[:-3], w[2:-2], w[3:])) AS z FROM piece WHERE len(w) > 2),
+f AS (SELECT lang, phrase, count(*) AS f FROM one GROUP BY ALL HAVING count(*) >= 10),
+f2 AS (SELECT lang, z[1] AS x, z[2] AS y, count(*) AS a FROM two GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, z[1] AS x, z[2] AS y, z[3] AS z, count(*) AS a FROM three GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+  SELECT lang, x || ' ' || y AS phrase, a, 1 AS k, l.f AS l, r.f AS r, 2 AS size
+  FROM f2 JOIN f l USING (lang) JOIN f r USING (lang) WHERE l.phrase = x AND r.phrase = y
+  UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.a, 1, l.f, r.a, 3
+  FROM f3 JOIN f l ON l.lang = f3.lang AND l.phrase = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+  UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.a, 2, l.a, r.f, 3
+  FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f r ON r.lang = f3.lang AND r.phrase = f3.z),
+scored AS (SELECT *, CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS score FROM cut),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (SELECT lang, phrase, max(a) AS around FROM (
+  SELECT lang, x || ' ' || y AS phrase, a FROM f3 UNION ALL SELECT lang, y || ' ' || z, a FROM f3) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN around USING (lang, phrase) WHERE around IS NULL OR 100 * around < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 @register
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
