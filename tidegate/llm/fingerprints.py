@@ -11,11 +11,8 @@ exact where both are complete.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import scratch_path
 from .tables import TEXT_BLANKS, fresh
 
 SIZE = 128               # hashes of a sketch: a standard error of 0.04 at a resemblance of 0.3
@@ -57,10 +54,8 @@ def merge(a: Column, b: Column, size: int = SIZE) -> Column:
 
 def _below(a: Column, b: Column, size: int) -> tuple[Column, Column, Column]:
     """Both sketches' values up to the smaller reach, and that reach (NULL: both complete)."""
-    def reach(s: Column) -> Column:
-        return F.when(F.size(s) >= size, F.array_max(s))
-
-    least = F.least(reach(a), reach(b))
+    # a sketch ascends, so its largest value is its last; a complete one has no value at that place
+    least = F.least(F.get(a, F.lit(size - 1)), F.get(b, F.lit(size - 1)))
 
     def cut(s: Column) -> Column:
         return F.when(least.isNull(), s).otherwise(F.filter(s, lambda h: h <= least))
@@ -83,7 +78,7 @@ def containment(a: Column, b: Column, size: int = SIZE) -> Column:
 
 def distinct_count(s: Column, size: int = SIZE) -> Column:
     """Estimated number of distinct shingles: exact below ``size``, else (size - 1) over the covered share of all hashes."""
-    share = (F.array_max(s).cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    share = (F.get(s, F.lit(size - 1)).cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
     return F.when(F.size(s) < size, F.size(s).cast("double")).otherwise(F.lit(size - 1.0) / share)
 
 
