@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions.columns import digest, draw_int
-from ..operators import classifiers, federation, metrics, sampling, scaling, training
+from ..operators import classifiers, comparison, federation, metrics, sampling, scaling, training
 from ..operators.cleaning import assemble_features
 from ..operators.neighbours import nearest_neighbours, vote
 from ..operators.networks import VARIANTS, Layout, initial_parameters, parameter_table, score
@@ -243,9 +243,9 @@ def central_perceptron(spark, sf_dir):
 
 @register("o51_model_comparison")
 def model_comparison(spark, sf_dir):
-    """All five algorithms, three clients as data sets, ten repeats; mean and spread of the accuracy."""
+    """All five algorithms at their defaults, three clients as data sets, ten repeats; mean and spread of the accuracy."""
     rows = written(numbered(prepared(spark, sf_dir)).withColumnRenamed("client", "dataset"), "rows")
-    accuracies = classifiers.compare_models(rows, ["row_id"], SHARE, repeats=10, algorithms=classifiers.ALGORITHMS)
+    accuracies = comparison.compare(rows, ["row_id"], SHARE, repeats=10)
     return classifiers.comparison_summary(accuracies).select(
         "dataset", "algorithm", "repeats", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "min", "max")]
     ).orderBy("dataset", "algorithm")

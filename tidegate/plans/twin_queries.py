@@ -12,10 +12,11 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import classifiers, federation, metrics, sampling, study, training
+from ..functions.columns import digest
+from ..operators import classifiers, federation, metrics, sampling, study, synchronous, training
 from ..operators.networks import Layout, initial_parameters
 from ..session import written
-from .model_queries import PREPARED_SQL, shards_and_holdout
+from .model_queries import PREPARED_SQL, prepared, shards_and_holdout
 from .registry import register
 from .views import FLOWS_SQL, KEY, SHARE, flows
 
@@ -176,32 +177,111 @@ def best_split(spark, sf_dir):
 @register("o48_forest_of_one", _STUMP)
 def forest_of_one(spark, sf_dir):
     """A forest of one tree over all rows and features, which is that tree."""
-    return _claims(classifiers.random_forest(*_stump_rows(spark, sf_dir), trees=1, max_depth=1, bootstrap=False))
+    return _claims(classifiers.random_forest(*_stump_rows(spark, sf_dir), count=1, max_depth=1, bootstrap=False, features=None))
+
+
+_FLOW_VALUES = ("quantity", "price", "discount", "tax")
+
+
+def _tree_sql(depth: int) -> str:
+    """A tree by trying every cut of every feature at every node, level by level, on the pooled train rows."""
+    parts = ["WITH " + FLOWS_SQL + f""",
+marked AS (SELECT client, flow_key, attack AS label, {", ".join(f"{c} AS x{k}" for k, c in enumerate(_FLOW_VALUES))},
+                  row_number() OVER (PARTITION BY client ORDER BY md5('split:' || flow_key))
+                  <= ceil(count(*) OVER (PARTITION BY client) * {SHARE}::DOUBLE) AS is_test FROM flows),
+at0 AS (SELECT *, 1 AS node FROM marked)"""]
+    pick = "CASE f " + " ".join(f"WHEN {k} THEN x{k}" for k in range(len(_FLOW_VALUES))) + " END"
+    for d in range(depth):
+        cells = " UNION ALL ".join(
+            f"SELECT node, {k} AS f, x{k} AS v, count(*) AS n, sum(label) AS c FROM at{d} WHERE NOT is_test GROUP BY ALL"
+            for k in range(len(_FLOW_VALUES)))
+        parts.append(f"""run{d} AS (SELECT node, f, v, lead(v) OVER o AS high, CAST(sum(n) OVER o AS BIGINT) AS l, CAST(sum(c) OVER o AS BIGINT) AS l1,
+          CAST(sum(n) OVER p AS BIGINT) AS t, CAST(sum(c) OVER p AS BIGINT) AS t1 FROM ({cells})
+          WINDOW p AS (PARTITION BY node, f), o AS (PARTITION BY node, f ORDER BY v)),
+best{d} AS (SELECT node, f, v / 2 + high / 2 AS cut FROM run{d} WHERE high IS NOT NULL AND t1 > 0 AND t1 < t
+          QUALIFY row_number() OVER (PARTITION BY node ORDER BY
+            (l * l - ((l - l1) * (l - l1) + l1 * l1)) / l + ((t - l) * (t - l) - ((t - l - t1 + l1) * (t - l - t1 + l1) + (t1 - l1) * (t1 - l1))) / (t - l),
+            f, v) = 1),
+at{d + 1} AS (SELECT a.* EXCLUDE (node), CASE WHEN f IS NULL THEN node WHEN {pick} <= cut THEN 2 * node ELSE 2 * node + 1 END AS node
+          FROM at{d} a LEFT JOIN best{d} b USING (node))""")
+    parts.append(f"leaves AS (SELECT node, CAST(2 * sum(label) > count(*) AS INT) AS pred FROM at{depth} WHERE NOT is_test GROUP BY node)")
+    return ",\n".join(parts) + f"""
+SELECT client, count(*) AS n, round(avg(CAST(label = pred AS DOUBLE)), 6) AS accuracy, CAST(sum(pred) AS BIGINT) AS claimed
+FROM at{depth} JOIN leaves USING (node) WHERE is_test GROUP BY client"""
+
+
+def _raw_rows(spark, sf_dir):
+    marked = sampling.split_by_share(flows(spark, sf_dir), SHARE, KEY)
+    rows = written(marked.select(
+        "client", "is_test", F.array(*_FLOW_VALUES).cast("array<double>").alias("features"), F.col("attack").alias("label")))
+    return rows.where(~F.col("is_test")), rows.where("is_test")
+
+
+@register("o47_exact_cuts", _tree_sql(3))
+def exact_cuts(spark, sf_dir):
+    """A tree of depth three over all values of four features, finished inside a task."""
+    return _claims(classifiers.decision_tree(*_raw_rows(spark, sf_dir), max_depth=3))
+
+
+@register("o47_cuts_by_levels", _tree_sql(4))
+def cuts_by_levels(spark, sf_dir):
+    """A tree of depth four; nodes of more than 500 rows are split by one aggregation over all rows per level."""
+    return _claims(classifiers.decision_tree(*_raw_rows(spark, sf_dir), max_depth=4, task_rows=500))
 
 
 _APART = "WITH " + FLOWS_SQL + f""",
-marked AS (SELECT client, flow_key, CAST(quantity + 5 * tax > 25 AS BIGINT) AS label,
+marked AS (SELECT client, flow_key, quantity + 5 * tax > 25 AS label, tax,
+                  quantity + CASE WHEN quantity + 5 * tax > 25 THEN 7 ELSE -7 END AS moved,
                   row_number() OVER (PARTITION BY client ORDER BY md5('split:' || flow_key))
-                  <= ceil(count(*) OVER (PARTITION BY client) * {SHARE}::DOUBLE) AS is_test
-           FROM flows WHERE quantity NOT BETWEEN 18 AND 32)
-SELECT client, count(*) AS n, 1.0::DOUBLE AS accuracy, CAST(sum(label) AS BIGINT) AS claimed FROM marked WHERE is_test GROUP BY client"""
+                  <= ceil(count(*) OVER (PARTITION BY client) * {SHARE}::DOUBLE) AS is_test FROM flows)
+SELECT client, count(*) AS n, round(avg(CAST(label = (moved + 5 * tax > 25) AS DOUBLE)), 6) AS accuracy,
+       CAST(count(*) FILTER (WHERE moved + 5 * tax > 25) AS BIGINT) AS claimed FROM marked WHERE is_test GROUP BY client"""
 
 
 def _apart_rows(spark, sf_dir):
-    """Flows whose label a plane tells apart with room on both sides: every learner must find it."""
-    rows = flows(spark, sf_dir).where(~F.col("quantity").between(18, 32))
-    marked = sampling.split_by_share(rows, SHARE, KEY)
+    """All flows, moved away from a plane that tells their labels apart: every learner must find it."""
+    label = F.col("quantity") + 5 * F.col("tax") > 25
+    marked = sampling.split_by_share(flows(spark, sf_dir), SHARE, KEY)
+    moved = F.col("quantity") + F.when(label, 7).otherwise(-7)
     stored = written(marked.select(
-        "client", "is_test", (F.col("quantity") + 5 * F.col("tax") > 25).cast("bigint").alias("label"),
-        F.array(F.col("quantity") / 25 - 1, F.col("tax"), F.col("discount")).alias("features")))
+        "client", "flow_key", "is_test", label.cast("bigint").alias("label"),
+        F.array(moved / 25 - 1, F.col("tax"), F.col("discount")).alias("features")))
     return stored.where(~F.col("is_test")), stored.where("is_test")
 
 
 @register("o49_separable", _APART)
 def separable_vectors(spark, sf_dir):
-    return _claims(classifiers.support_vectors(*_apart_rows(spark, sf_dir), rbf=False, iterations=50))
+    return _claims(classifiers.support_vectors(*_apart_rows(spark, sf_dir)))
 
 
 @register("o50_separable", _APART)
 def separable_perceptron(spark, sf_dir):
-    return _claims(classifiers.perceptron(*_apart_rows(spark, sf_dir), hidden=(8,), epochs=60))
+    return _claims(classifiers.perceptron(
+        *_apart_rows(spark, sf_dir), hidden=(8,), epochs=60, batch_size=1 << 40, key=("flow_key",), lr=0.05))
+
+
+def _batches_sql(batches: int, rate: float) -> str:
+    """Plain descent over ``batches`` equal batches in hash order, one epoch, from the start parameters."""
+    parts = ["WITH " + PREPARED_SQL + f""",
+placed AS (SELECT x, attack, (row_number() OVER (ORDER BY md5('central:' || flow_key)) - 1)
+                  // CAST(ceil(count(*) OVER () / {batches}.0) AS BIGINT) AS batch FROM prepared WHERE NOT is_test),
+s0 AS ({_start(0, "start")})"""]
+    for b in range(batches):
+        moves = [f"avg(e * x[{j + 1}])" for j in range(4)] + ["avg(e)"]
+        new = [f"any_value(a{j}) + {rate} * {m} AS a{j}" for j, m in enumerate(moves)]
+        new += [f"any_value(b{j}) - {rate} * {m} AS b{j}" for j, m in enumerate(moves)]
+        parts.append(f"""s{b + 1} AS (SELECT number, {", ".join(new)} FROM (
+  SELECT s.*, x, 1 / (1 + exp(({_score("a")}) - ({_score("b")}))) - attack AS e FROM s{b} s, placed WHERE batch = {b}) GROUP BY number)""")
+    return ",\n".join(parts) + f"""
+SELECT (SELECT count(*) FROM placed) AS n, {", ".join(f"round({c}, 6) AS {c}" for c in NAMES)} FROM s{batches}"""
+
+
+@register("o50_central_epoch", _batches_sql(5, 0.5))
+def central_epoch(spark, sf_dir):
+    """One epoch of synchronous training in five batches: the parameters that SQL reaches batch by batch."""
+    train = prepared(spark, sf_dir).where(~F.col("is_test"))
+    size = -(-train.count() // 5)
+    fit = training.Fit("SGD", lr=0.5, momentum=0.0, epochs=1, batch_size=size)
+    out = synchronous.train_central(
+        train, LINEAR, fit, initial_parameters(LINEAR, "start"), digest("central", "flow_key"), label="attack")
+    return spark.createDataFrame([(out.n, *(round(float(v), 6) for v in out.w))], "n bigint, " + ", ".join(f"{c} double" for c in NAMES))
