@@ -4,6 +4,7 @@ import io
 from base64 import b32encode
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegate.llm import warc as W
 
@@ -81,3 +82,18 @@ def test_damage_is_found():
     with pytest.raises(ValueError):
         records(good[:-9])
     assert records(b"") == []
+
+
+def test_very_long_url_and_many_empty_pages(spark):
+    rows = [(k, "data:" + "x" * 2_100_000 if k == 3 else f"http://a/{k}", "" if k % 3 == 0 else f"page {k}", "x", "x", "x")
+            for k in range(60)]
+    pages = spark.createDataFrame(rows, PAGES)
+    got = W.round_trip(pages).collect()
+    assert sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == expected(rows)
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"text {k} " * 50, "x", "x", "x") for k in range(80)], PAGES)
+    archives = W.write_archives(pages, str(tmp_path), archive_bytes=2_000)
+    read = W.read_archives(archives, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    assert archives.count() > 4 and read.select("task").distinct().count() > 4

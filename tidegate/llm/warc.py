@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path, written
 
+MAX_READERS = 100_000            # tasks that read archives; with more archives a task reads several
 ARCHIVE_BYTES = 64 << 20        # an archive is closed once it holds this many bytes
 _PIECE = 1 << 16
-_MAX_HEADER = 1 << 20
 # Fixed values of the format.
 VERSION, LINE, END = b"WARC/1.1", b"\r\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -115,14 +115,16 @@ class _Inflated:
         return b""
 
     def until(self, mark: bytes) -> bytes:
-        found = b""
-        while mark not in found:
+        """The bytes before ``mark``, of any number; only the end of what is held is searched again."""
+        found, searched = bytearray(), 0
+        while (at := found.find(mark, searched)) < 0:
+            searched = max(0, len(found) - len(mark) + 1)
             piece = self.more()
-            if not piece or len(found) > _MAX_HEADER:
+            if not piece:
                 raise ValueError(f"no end of the header in the member at {self.offset}")
             found += piece
-        head, _, self.ready = found.partition(mark)
-        return head
+        self.ready = bytes(found[at + len(mark):])
+        return bytes(found[:at])
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:
@@ -191,7 +193,8 @@ def owners(pages: DataFrame, min_revisit_bytes: int = 0, page_id: str = "page_id
     digest, size = F.sha1(body), F.octet_length(body)
     heads = pages.select(F.col(page_id).alias("p"), digest.alias("d"), size.alias("n")).where(
         F.col("n") >= min_revisit_bytes).groupBy("d", "n").agg(F.max("p").alias("owner"), F.count("*").alias("copies"))
-    shared = heads.where("copies > 1").select("d", "n", "owner", F.lit(True).alias("shared"))
+    # stored, so that the join's two sides are plain shuffles and a payload with very many pages can be split
+    shared = written(heads.where("copies > 1").select("d", "n", "owner", F.lit(True).alias("shared")), "shared")
     rows = pages.withColumns({"d": digest, "n": size})
     return rows.join(shared, ["d", "n"], "left").withColumn(
         "revisit", F.coalesce(F.col("shared") & ~F.col(page_id).eqNullSafe(F.col("owner")), F.lit(False)))
@@ -267,7 +270,8 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                     if rows:
                         yield _batch(rows, names, kinds)
 
-    return archives.select("path").repartition("path").mapInArrow(read, schema)
+    # dealt to a stated number of partitions: adaptive execution would merge so small a table into one
+    return archives.select("path").repartition(min(MAX_READERS, max(1, archives.count()))).mapInArrow(read, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
