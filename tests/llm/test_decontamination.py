@@ -139,3 +139,17 @@ def test_every_quote_of_13_words_is_found(spark):
         found = {(r.doc_id, r.item_id) for r in D.leaks(table, bench, options).collect()}
         assert {(n, k) for n, (k, _) in enumerate(quotes)} <= found and min(d for d, _ in found) >= 0
     assert {r.doc_id for r in D.keep_uncontaminated(table, bench).collect()} == set(range(-19, 0))
+
+
+def test_short_items_are_whole_words_and_remove_nothing(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "no"), (3, "I/O!"), (4, "of the")], "item_id bigint, text string")
+    texts = ["Nobody knows an anode", "say no", "No.", "an i o port", "io", "a", "", None, "of  THE sea", "of them"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in D.spans(docs, items).collect()}
+    assert got == {(1, 2, 4, 6), (2, 2, 0, 2), (3, 3, 3, 6), (5, 1, 0, 1), (8, 4, 0, 7)}
+    kept = D.keep_uncontaminated(docs, items)       # single words remove nothing, "I/O!" and "of the" do
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 7, 9]
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    both = items.unionByName(spark.createDataFrame([(9, words)], "item_id bigint, text string"))
+    more = docs.unionByName(spark.createDataFrame([(50, "x " + words + " y")], docs.schema))
+    assert sorted(r.doc_id for r in D.keep_uncontaminated(more, both).collect()) == [0, 1, 2, 4, 5, 6, 7, 9]

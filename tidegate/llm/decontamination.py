@@ -120,7 +120,7 @@ class Index:
 
     def __init__(self, tiles: list[np.ndarray], q: int, share: float, least: int, names: list[tuple] | None = None) -> None:
         """``names``: (item_id, number) of each tile; without them each tile is an item of its own."""
-        self.tiles, self.q = tiles, q
+        self.tiles, self.q, self.short = tiles, q, False       # short: tiles of fewer characters than a q-gram
         m = np.array([len(t) for t in tiles])
         self.edits = np.minimum((m * share).astype(np.int64), np.maximum(0, (m + 1 - least) // q - 1))
         self.bound = m + 1 - q * (self.edits + 1)
@@ -287,10 +287,17 @@ def _indexes(rows: list, search: Search) -> list[tuple[Index, list]]:
     out = []
     for q, group in sorted(by_q.items()):
         names = [(i, p) for i, p, _ in group]
-        out.append((Index([c for _, _, c in group], q, search.edits, search.least, names), names))
+        index = Index([c for _, _, c in group], q, search.edits, search.least, names)
+        index.short = q < search.q
+        out.append((index, names))
     return out
 
 
+def _whole_words(codes: np.ndarray, start: int, end: int) -> bool:
+    """Whether no word goes on beyond either end of a region."""
+    return (start == 0 or codes[start - 1] == 32) and (end == len(codes) or codes[end] == 32)
+
+
 def matches_in(text: str, indexes: list[tuple[Index, list]], first_only: bool = False) -> list[tuple]:
     """(item_id, tile number, edits, start, end) in the order of start; places count the text's own characters."""
     codes, at = normal(text)
@@ -302,7 +309,7 @@ def matches_in(text: str, indexes: list[tuple[Index, list]], first_only: bool =
             if len(part) < index.q:
                 continue
             for tile, (edits, a, b) in index.align(part, index.bands(part)):
-                if b > a:
+                if b > a and (not index.short or _whole_words(codes, begin + a, begin + b)):
                     if first_only:
                         return [(*names[tile], edits, int(at[begin + a]), int(at[begin + b - 1]) + 1)]
                     key = (*names[tile], begin + a)
@@ -392,7 +399,8 @@ def spans(
 
     ``start`` and ``end`` count the text's characters. NULL and empty texts and
     items match nothing, repeated rows match each, an empty benchmark or document
-    table gives no rows. Items of fewer characters than a q-gram must occur whole.
+    table gives no rows. Items of fewer compared characters than a q-gram (8) must
+    occur unchanged and as whole words.
     """
     out = None
     for rows in _passes(benchmark, search, item_id, item_text):
@@ -426,10 +434,17 @@ def keep_uncontaminated(
     docs: DataFrame, benchmark: DataFrame, search: Search = Search(), text: str = "text",
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` without a match, with all their columns."""
+    """The rows of ``docs`` without a match, with all their columns.
+
+    Items that are a single word of fewer characters than a q-gram (8) remove
+    nothing: ``no`` does not tell where a text comes from. ``spans`` reports them.
+    """
     names = docs.columns
     at = names.index(text)
     for rows in _passes(benchmark, search, item_id, item_text):
+        rows = [r for r in rows if len(r.codes) >= search.q or 32 in r.codes]
+        if not rows:
+            continue
         indexes = _indexes(rows, search)
 
         def clean(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
