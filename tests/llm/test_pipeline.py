@@ -10,7 +10,7 @@ from tidegate.llm.queries import tokenizer
 from tidegate.llm.tables import table
 from tidegate.llm.tokens import encoder
 
-from brute import base_failed, component_ids, edit_distance_inside, fingerprint
+from brute import AWKWARD, DOCS, base_failed, component_ids, edit_distance_inside, fingerprint
 from conftest import SF
 
 
@@ -82,3 +82,22 @@ def test_run_gives_the_last_stage(spark, steps):
     rows = corpus_pipeline.run(spark, SF).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, rows)) == sorted(map(key, steps[4][2]))
+
+
+def test_awkward_rows_through_all_stages(spark):
+    good = [(100 + k, " ".join(f"plain{(7 * i + k) % 97}" for i in range(80)) + ".", "en", "s", 9, "m", "s", "q") for k in range(3)]
+    docs = spark.createDataFrame(AWKWARD + good + good[:1], DOCS)
+    kept = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).persist()
+        assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
+        assert {r.doc_id for r in docs.collect()} <= kept
+        kept = {r.doc_id for r in docs.collect()}
+    # all short, blank and repetitive texts are gone, of the repeated row one is left
+    assert kept == {100, 101, 102} and docs.count() == 3
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in pieces.collect()} == kept
+    empty = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty.select("doc_id", "text", "lang", "source", "n_chars"), SF).limit(0) if "text" in empty.columns else empty
+        assert empty.count() == 0

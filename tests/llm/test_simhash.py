@@ -65,3 +65,15 @@ def test_long_text_in_parts(spark, monkeypatch):
 def test_hex(spark):
     df = spark.createDataFrame([(-1,), (0,), (255,)], "m bigint")
     assert [r[0] for r in df.select(M.hex_fingerprint(F.col("m"))).collect()] == ["f" * 16, "0" * 16, "0" * 14 + "ff"]
+
+
+def test_equal_ids_and_marks_keep_the_same_text_in_every_run(spark):
+    # blanks do not change a fingerprint: four texts of one id and one fingerprint
+    rows = [(1, "a  b c"), (1, "a b c"), (1, "a b  c"), (1, "A b c"), (2, "other words here")]
+    found = set()
+    for parts in (1, 2, 3, 5):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        kept = M.keep_one(docs).collect()
+        assert sorted(r.doc_id for r in kept) == [1, 2]
+        found |= {r.text for r in kept if r.doc_id == 1}
+    assert len(found) == 1

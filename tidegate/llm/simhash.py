@@ -191,10 +191,10 @@ def keep_one(
     """The rows of ``docs`` without near copies: of each component only the row with the smallest id.
 
     Rows that repeat that id count as copies; of them the one with the smallest
-    fingerprint stays, of equal ones any. A component whose ids are all NULL
-    keeps one row too. All columns are kept.
+    fingerprint stays, of equal ones that whose text has the smallest hash. A
+    component whose ids are all NULL keeps one row too. All columns are kept.
     """
-    mark, own, least, copies = fresh(docs, "mark", "own_mark", "least_id", "copies")
+    mark, own, least, copies, tie = fresh(docs, "mark", "own_mark", "least_id", "copies", "tie")
     stored = written(with_fingerprint(docs, mark, text, words))
     ids = groups(stored, mark, doc_id, distance)
     rows = stored.groupBy(F.col(mark).alias("mark"), F.col(doc_id).alias("id")).agg(F.count("*").alias("copies"))
@@ -205,5 +205,8 @@ def keep_one(
     kept = stored.join(winners.hint("shuffle_hash"), same)
     if winners.where(F.col(copies) > 1).isEmpty():
         return kept.select(*docs.columns)
-    repeated = kept.where(F.col(copies) > 1).dropDuplicates([mark, doc_id])
-    return kept.where(F.col(copies) == 1).unionByName(repeated).select(*docs.columns)
+    repeated = kept.where(F.col(copies) > 1).withColumn(tie, F.xxhash64(text))
+    first = repeated.groupBy(F.col(mark).alias("m"), F.col(doc_id).alias("i")).agg(F.min(tie).alias("t"))
+    one = (F.col(mark) == F.col("m")) & F.col(doc_id).eqNullSafe(F.col("i")) & (F.col(tie) == F.col("t"))
+    repeated = repeated.join(first, one, "left_semi").dropDuplicates([mark, doc_id])
+    return kept.where(F.col(copies) == 1).unionByName(repeated.drop(tie)).select(*docs.columns)
