@@ -2,6 +2,13 @@
 
 Quality rules, toxicity and decontamination drop rows, near-duplicate removal
 keeps one row of each group, packing returns the pieces of the final sequences.
+
+All stages take every row: NULL, empty and blank texts have no words, so quality
+rules drop them; texts of any length are read whole; rows with NULL ids are judged
+like others. Repeated rows and ids are copies, of which near-duplicate removal
+keeps one (ties: smallest fingerprint, then smallest hash of the text). Further
+columns, also of clashing names, stay as they are up to the last stage. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
