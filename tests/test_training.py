@@ -179,6 +179,25 @@ def test_unequal_parameter_lengths_are_an_error(spark):
         fed.average_parameters(df).collect()
 
 
+@pytest.mark.parametrize("held", [1, 32 << 20])
+def test_average_is_a_tree_of_vector_sums(spark, monkeypatch, held):
+    """The rows that are shuffled are one per task and key, not one per position; NULL keys are a group."""
+    monkeypatch.setattr(fed, "_HELD", held)
+    rng = np.random.default_rng(3)
+    data = [(int(k % 3) if k % 3 else None, int(n), rng.normal(size=500).tolist()) for k, n in enumerate(rng.integers(1, 9, 400))]
+    data += [(1, None, data[1][2]), (1, 5, None)]
+    df = spark.createDataFrame(data, "round int, n long, w array<double>").repartition(6)
+    merged = fed.average_parameters(df)
+    got = {r["round"]: r for r in merged.collect()}
+    assert "Generate" not in merged._jdf.queryExecution().executedPlan().toString()
+    for key in (None, 1, 2):
+        kept = [(n, np.array(w)) for k, n, w in data if k == key and n is not None and w is not None]
+        total = sum(n for n, _ in kept)
+        assert got[key]["n"] == total
+        assert got[key]["w"] == pytest.approx(list(sum(n * w for n, w in kept) / total), abs=1e-12)
+    assert fed.average_parameters(df.limit(0)).count() == 0
+
+
 def test_too_few_clients(spark):
     shards = tr.lay_out_shards(separable(spark, 60, clients=2), ["key"], rows_per_shard=20_000)
     with pytest.raises(ValueError):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import pinned, stable
@@ -13,27 +15,74 @@ from .networks import Layout, initial_parameters, parameter_table, score_each
 from .training import Fit, Shards, fit_history, fit_shards
 
 
+_FAN = 32                       # partial sums that meet in one task of the middle stage, about
+_HELD = 32 << 20                # bytes of sums that a task holds before it passes them on
+
+
+def _vector_sums(keys: Sequence[str], held: int):
+    """Sum (n, w) by key over the batches of a task; ``held`` bytes of sums go out early, in rows of their own.
+
+    With ``held`` 0 a change of key sends its sum, so sorted rows give one row per key.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        schema, size = None, 0
+
+        def out():
+            names = list(zip(*sums)) if keys else []
+            columns = [*names, [s[0] for s in sums.values()], [s[1] for s in sums.values()]]
+            arrays = [pa.array(list(c), field.type) for c, field in zip(columns, schema)]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            groups = zip(*[batch.column(k).to_pylist() for k in keys]) if keys else repeat((), batch.num_rows)
+            weights, vectors = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1)
+            for group, n, vector in zip(groups, weights, vectors):
+                vector = vector.values.to_numpy(zero_copy_only=False)
+                if held == 0 and sums and group not in sums:
+                    yield out()
+                done = sums.get(group)
+                if done is None:
+                    sums[group] = [n, vector.copy()]
+                    size += vector.nbytes
+                elif len(done[1]) != len(vector):
+                    raise ValueError("parameter arrays differ in length")
+                else:
+                    done[0] += n
+                    done[1] += vector
+                if held and size > held:
+                    yield out()
+                    size = 0
+        if sums:
+            yield out()
+
+    return run
+
+
 def average_parameters(params: DataFrame, keys: Sequence[str] = ("round",), weight: str = "n", w: str = "w") -> DataFrame:
     """Elementwise Σ n·w / Σ n over the rows of each key; arrays of unequal length are an error.
 
-    Positions are combined map-side, so the shuffle carries at most one value
-    per (task, key, position); the arrays rebuilt have the layout's length.
+    Weighted vectors are summed as Arrow arrays in a tree: in the tasks that
+    hold them, then in groups of about ``_FAN`` tasks per key, then per key.
+    The shuffles carry one row per task and key, however long the vectors are,
+    and a task holds a few sums at a time. Rows without weight or array are left
+    out, NULL keys are a group, a key whose weights add up to 0 has NaN.
     """
     keys = list(keys)
-    cells = params.select(*keys, F.col(weight).cast("double").alias("_n"), F.posexplode(w).alias("_pos", "_v"))
-    means = cells.groupBy(*keys, "_pos").agg(
-        F.sum("_n").alias("_n"), (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("_w"),
-        F.count("*").alias("_rows"),
-    )
-    cell = F.struct("_pos", "_w")
-    packed = means.groupBy(*keys).agg(
-        F.max("_n").cast("bigint").alias(weight), F.array_sort(F.collect_list(cell)).alias("_cells"),
-        F.min("_rows").alias("_fewest"), F.max("_rows").alias("_most"),
-    )
-    same = F.when(F.col("_fewest") == F.col("_most"), F.transform("_cells", lambda c: c["_w"])).otherwise(
-        F.raise_error(F.lit("parameter arrays differ in length")).cast("array<double>")
-    )
-    return packed.select(*keys, weight, same.alias(w))
+    rows = params.where(F.col(weight).isNotNull() & F.col(w).isNotNull()).select(
+        *keys, F.col(weight).cast("bigint").alias("_n"),
+        F.transform(w, lambda v: v.cast("double") * F.col(weight)).alias("_w"))
+    partial = rows.mapInArrow(_vector_sums(keys, _HELD), rows.schema)
+    # sums of neighbouring tasks meet first
+    near = partial.withColumn("_near", F.floor(F.spark_partition_id() / F.lit(_FAN)))
+    middle = near.repartition(*keys, "_near").drop("_near").mapInArrow(_vector_sums(keys, _HELD), rows.schema)
+    last = middle.repartition(*keys).sortWithinPartitions(*keys) if keys else middle.repartition(1)
+    sums = last.mapInArrow(_vector_sums(keys, 0), rows.schema)
+    total = F.col("_n").cast("double")
+    return sums.select(*keys, F.col("_n").alias(weight), F.transform(
+        "_w", lambda v: F.when(total == 0, F.lit(float("nan"))).otherwise(v / total)).alias(w))
 
 
 @dataclass(frozen=True)
