@@ -106,6 +106,46 @@ def full_batch_study(spark, sf_dir):
     return steps.select("number", "step", F.round("value", 5).alias("value"))
 
 
+QUEUE_RATES = [0.5, 0.02, 0.3, 0.001, 0.1, 0.0005, 0.4, 0.01]
+QUEUE_STARTUP, QUEUE_EPOCHS = 2, 3
+
+
+def _queue_sql() -> str:
+    """The trials of a study one by one: each is held against those complete before it."""
+    last = QUEUE_EPOCHS - 1
+    parts = ["WITH " + PREPARED_SQL + ",\ns0 AS (" + " UNION ALL ".join(
+        _start(k, f"trial-{k}", f", {rate} AS rate") for k, rate in enumerate(QUEUE_RATES)) + ")",
+        _steps_sql("any_value(rate)", QUEUE_EPOCHS),
+        "steps AS (" + " UNION ALL ".join(f"""SELECT number, {r} AS step,
+            avg(CAST(attack = CASE WHEN {_score("b")} > {_score("a")} THEN 1 ELSE 0 END AS DOUBLE)) AS value
+            FROM s{r + 1} s, prepared WHERE is_test GROUP BY number""" for r in range(QUEUE_EPOCHS)) + ")",
+        "so_far AS (SELECT *, max(value) OVER (PARTITION BY number ORDER BY step) AS best FROM steps)",
+        "c0 AS (SELECT 0 AS number WHERE FALSE)"]
+    for k in range(len(QUEUE_RATES)):
+        parts.append(f"""stop{k} AS (SELECT coalesce(min(a.step), {last}) AS step, count(*) > 0 AS pruned FROM so_far a
+  WHERE a.number = {k} AND a.step < {last} AND (SELECT count(*) FROM c{k}) >= {QUEUE_STARTUP}
+    AND a.best < (SELECT quantile_cont(b.value, 0.5) FROM steps b WHERE b.step = a.step AND b.number IN (SELECT number FROM c{k}))),
+c{k + 1} AS (SELECT number FROM c{k} UNION ALL SELECT {k} FROM stop{k} WHERE NOT pruned)""")
+    return ",\n".join(parts) + "\n" + " UNION ALL ".join(f"""SELECT CAST({k} AS INT) AS number,
+       CASE WHEN pruned THEN 'PRUNED' ELSE 'COMPLETE' END AS state, CAST(t.step + 1 AS BIGINT) AS epochs, round(value, 5) AS value
+FROM stop{k} t JOIN steps s ON s.number = {k} AND s.step = t.step""" for k in range(len(QUEUE_RATES)))
+
+
+@register("o54_trials_one_by_one", _queue_sql())
+def trials_one_by_one(spark, sf_dir):
+    """A study with one place: trials are trained in turn and pruned while they run."""
+    shards, holdout = shards_and_holdout(spark, sf_dir, rows_per_shard=5_000)
+    trials = spark.createDataFrame(pa.table({
+        "number": pa.array(range(len(QUEUE_RATES)), pa.int64()), "params_lr": QUEUE_RATES,
+        "params_optimizer": ["SGD"] * len(QUEUE_RATES),
+    }))
+    done, steps = study.run_study(
+        shards, holdout, LINEAR, trials, epochs=QUEUE_EPOCHS, batch_size=ONE_BATCH, startup=QUEUE_STARTUP, slots=1,
+        label="attack")
+    counted = done.join(steps.groupBy("number").agg(F.count("*").alias("epochs")), "number")
+    return counted.select("number", "state", "epochs", F.round("value", 5).alias("value"))
+
+
 def mean_rule(column, train, test):
     """Predicts 1 above the train rows' mean of one feature."""
     mean = train.agg(F.avg(F.col("features")[column])).first()[0]
