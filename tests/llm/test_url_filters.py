@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegate.llm import url_filters as U
@@ -33,7 +34,7 @@ def rows(spark):
 
 
 def test_parts_and_rules(spark):
-    got = U.judge(rows(spark), URL_RULES, U.Model((0.0,) * 4_096, -1.0)).collect()
+    got = U.judge(rows(spark), URL_RULES, U.Model((0.0,) * 16_384, -1.0)).collect()
     for r in got:
         url = URLS[r.page_id] if r.page_id is not None else "http://a.net/"
         host, path = split(url)
@@ -41,8 +42,8 @@ def test_parts_and_rules(spark):
         assert (r.host, r.path, r.rule) == (host, path, want and want.name), url
         assert r.verdict == (want.verdict if want else "allow")
     assert len(got) == len(URLS) + 1
-    assert U.judge(rows(spark).limit(0), URL_RULES, U.Model((0.0,) * 4_096, 0.0)).count() == 0
-    assert {r.rule for r in U.judge(rows(spark), [], U.Model((0.0,) * 4_096, 1.0)).collect()} == {None}
+    assert U.judge(rows(spark).limit(0), URL_RULES, U.Model((0.0,) * 16_384, 0.0)).count() == 0
+    assert {r.rule for r in U.judge(rows(spark), [], U.Model((0.0,) * 16_384, 1.0)).collect()} == {None}
 
 
 def test_held_out_urls(spark):
@@ -84,3 +85,37 @@ def test_training_against_plain_steps(spark):
 def test_no_labels(spark):
     model = U.learn(spark.createDataFrame([(None, 1), ("u", None)], "url string, label int"), U.Training(buckets=8))
     assert set(model.weights) == {0.0} and model.bias == 0.0
+
+
+@pytest.fixture(scope="module")
+def table_model(spark):
+    return U.learn(U.labelled_urls(spark))
+
+
+def blocked(spark, model, urls):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    return {urls[r.page_id] for r in U.judge(pages, [], model).collect() if r.verdict == "block"}
+
+
+def test_labelled_table(spark):
+    rows = U.labelled_urls(spark).collect()
+    assert len(rows) == len({r.url for r in rows}) < 3_000 and {r.label for r in rows} == {0, 1}
+    assert not set(U.ORDINARY.split()) & {w for words in U.UNWANTED.values() for w in words.split()}
+
+
+def test_hosts_that_are_not_in_the_table(spark, table_model):
+    """Unlabelled hosts with an unwanted name of every kind are blocked, unknown and ordinary ones pass."""
+    unwanted = [f"http://{h}/en/{n}" for n, h in enumerate((
+        "m.mycasino7.org", "betting-king.com", "pokerslots.net", "adtracker.example.com", "ads-tracking.info", "adult-porn.org",
+        "www.spammers.net", "spam-loans.com", "pills-pharmacy.org", "pillshop24.com"))]
+    unknown = [f"http://{h}/de/{n}.html" for n, h in enumerate((
+        "qzvkw.org", "www.lumorin.com", "blog.wuffel.net", "newsroom.org", "schoolmuseum.example.com", "m.weathers.net", "h"))]
+    found = blocked(spark, table_model, unwanted + unknown)
+    assert len(found & set(unwanted)) >= 9 and not found & set(unknown)
+
+
+def test_a_kind_held_out_of_the_labels(spark, table_model):
+    """Without the gambling names in the table its hosts pass; the others are still blocked."""
+    urls = ["http://casino-roulette.com/", "http://tracker-ads.com/"]
+    held = U.learn(U.labelled_urls(spark, [k for k in U.UNWANTED if k != "gambling"]))
+    assert blocked(spark, held, urls) == {urls[1]} and blocked(spark, table_model, urls) == set(urls)

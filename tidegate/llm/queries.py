@@ -44,7 +44,7 @@ URL_RULES = [
 @register
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filters.judge(pages, URL_RULES, url_filters.learn(url_filters.labelled_by_words(pages)))
+    return url_filters.judge(pages, URL_RULES, url_filters.learn(url_filters.labelled_urls(spark)))
 
 
 @register
