@@ -99,7 +99,13 @@ def test_classes_against_whole_vectors(spark, n):
     ('<div class="widget"><p>t{k}</p></div><footer>f{k}</footer>', "t{k}"),
     ('<article><div id="related-work"><p>r{k}</p></div><p class="notice">t{k}</p></article>', "r{k}\n\nt{k}"),
     ('<article><p>a{k} <span class="ad">x{k}</span> b{k}</p></article>', "a{k}\n\nb{k}"),
+    # one form around the page, an article in a dialog
+    ('<form id="aspnetForm"><nav><p>n{k}</p></nav><main><article><p>t{k}</p><form><p>f{k}</p></form></article></main></form>', "t{k}"),
+    ('<form><fieldset><p>t{k}</p></fieldset></form>', "t{k}"),
+    ('<dialog open><article><p>t{k}</p></article></dialog><p>x{k}</p>', "t{k}"),
     # sides stay sides
+    ('<article><p>t{k}</p><fieldset><p>f{k}</p></fieldset></article><form><p>g{k}</p></form>', "t{k}"),
+    ('<p>t{k}</p><form><p>g{k}</p></form>', "t{k}"),
     ('<article><p>t{k}</p><div class="related-posts"><p>r{k}</p></div></article>', "t{k}"),
     ('<div class="no-sidebar"><article><p>t{k}</p></article><div id="comments"><article class="comment"><p>c{k}</p>'
      '</article></div></div><div class="widget-area"><p>w{k}</p></div>', "t{k}"),
@@ -108,3 +114,10 @@ def test_classes_against_whole_vectors(spark, n):
 def test_class_words_do_not_hide_the_article(spark, body, want):
     got = run(spark, [("http://a.com/%d" % k, "<html>" + body.replace("{k}", str(k)) + "</html>") for k in range(4)])
     assert {k: r.text for k, r in got.items()} == {k: want.replace("{k}", str(k)) for k in range(4)}
+
+
+def test_template_texts_of_any_length_go(spark):
+    """Pages without an article: what stands on all pages of the host is template, short or long."""
+    long = "all rights of this site " * 400
+    got = run(spark, [("http://a.com/%d" % k, f"<div><div><p>own {k}</p></div></div><div><p>{long}</p></div>") for k in range(5)])
+    assert {k: r.text for k, r in got.items()} == {k: f"own {k}" for k in range(5)}

@@ -11,7 +11,8 @@ stands between: a block belongs to the innermost template element around it. The
 article is what fills the slots inside the template's ``article`` or ``main``, or,
 on pages that fill none of those, all slots outside side containers. Class and id
 words are weak evidence: they never make the page, the article, what contains it
-or a paragraph a side container.
+or a paragraph a side container. Forms, field sets, dialogs and objects are sides
+unless the article stands in them, as in pages that one form wraps.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SIDES = frozenset(
-    "aside button canvas datalist dialog fieldset footer form head menu nav object search select svg".split()
-)
+SIDES = frozenset("aside button canvas datalist footer head menu nav search select svg".split())
+# sides unless the article stands in them
+WRAPPERS = frozenset("dialog fieldset form object".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 # Words of class, id and role that name a side container.
 SIDE_WORDS = frozenset(
@@ -80,7 +81,6 @@ class Template:
     element_pages: int = 2          # distinct pages with an element, or all pages of a smaller host
     text_pages: int = 3             # distinct pages with a text block
     text_share: float = 0.5         # of the host's distinct pages, for a text block
-    longest: int = 200              # characters of a template's text block
 
 
 def _number(text: str) -> int:
@@ -149,7 +149,7 @@ class _Page:
         is_side = name in SIDES or (role in SIDE_WORDS and name not in ("html", "body")) or (
             not main and (name == "header" or role == "banner"))
         by_class = _named(classes, SIDE_WORDS if main else SIDE_WORDS | HEAD_WORDS)
-        is_named = by_class and not is_side and not is_main and name not in NEVER_SIDES
+        is_named = (by_class or name in WRAPPERS) and not is_side and not is_main and name not in NEVER_SIDES
         if name not in BLOCKS and not is_side and not is_named:
             return
         self.flush()                                     # the text before an inline side is not part of it
@@ -177,7 +177,7 @@ class _Page:
         self.open.append((name, path, side or is_side, main, doubts))
 
     def settle(self) -> None:
-        """Blocks in sides by class become side blocks, but for sides that contain the article.
+        """Blocks in sides by class, in forms and the like become side blocks, but for sides that contain the article.
 
         The article is the ``main`` and the ``article`` with the fewest sides by
         class around it, the first of those; beside a ``main`` only articles in it
@@ -318,8 +318,7 @@ def extract(
     rows = parsed.select("page_id", "url", "host", "blocks").join(found, F.col("host") == F.col("of"), "left")
     nothing = F.array().cast("array<bigint>")
     in_main = F.filter("blocks", lambda b: F.arrays_overlap(b["around"], F.coalesce("main", nothing)))
-    apart = F.filter("blocks", lambda b: ~(
-        F.array_contains(F.coalesce("texts", nothing), b["token"]) & (F.length(b["text"]) <= template.longest)))
+    apart = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("texts", nothing), b["token"]))
     rows = rows.select("page_id", "url", in_main.alias("in_main"), apart.alias("apart"))
     kept = F.when(F.size("in_main") > 0, F.col("in_main")).otherwise(F.col("apart"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
