@@ -13,6 +13,7 @@ from ..operators import scaling
 from ..operators.networks import initial_parameters
 from ..session import scratch_path
 from ..streaming import flows as stream
+from ..streaming.running import running_sessions
 from .model_queries import SMALL
 from .network_sql import network_sql
 from .registry import register
@@ -130,6 +131,31 @@ def attack_sessions_table(spark, sf_dir):
     )
 
 
+@register("o60_running_sessions", "WITH " + EVENTS_SQL + f""",
+attack AS (SELECT source, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY source ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh
+           FROM flow_events WHERE malicious),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY ts) AS run FROM attack),
+sessions AS (SELECT source, run, min(ts) AS first, max(ts) + INTERVAL '2 hours' AS last, count(*) AS flows,
+                    count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS early FROM runs GROUP BY ALL)
+SELECT source, {CLOCK_SQL.format("first")} AS session_start, {CLOCK_SQL.format("last")} AS session_end, flows,
+       CASE WHEN early > 0 THEN early ELSE flows END AS first_flows,
+       CASE WHEN last <= (SELECT max(ts) - INTERVAL '10 minutes' FROM attack) THEN 'closed' ELSE 'open' END AS state
+FROM sessions""")
+def running(spark, sf_dir):
+    """The two halves of the month arrive one after the other; the flows of a session at its first report and at the end."""
+    folder, out, state = (scratch_path(spark, name) for name in ("running-in", "running-out", "running-state"))
+    e = table(spark, sf_dir, "events")
+    for part in (F.col("ts") < "2024-01-16", F.col("ts") >= "2024-01-16"):
+        e.where(part).write.mode("append").parquet(folder)
+        rows = as_stream_rows(stream.open_stream(spark, folder, e.schema))
+        told = running_sessions(rows, "malicious", "source", gap="2 hours")
+        stream.upsert(told, out, state, partitions=_cores(spark)).awaitTermination()
+    key = ["source", "session_start"]
+    first = spark.read.parquet(out).groupBy(*key).agg(F.min_by("flows", "batch").alias("first_flows"))
+    newest = stream.latest(spark, out, key).join(first, key)
+    return newest.select("source", _clock("session_start"), _clock("session_end"), "flows", "first_flows", "state")
+
+
 @register("o61_duplicate_flows", "WITH " + EVENTS_SQL + """
 SELECT client, count(*) AS n, count(DISTINCT event_id) AS keys, round(sum(value), 4) AS value FROM flow_events GROUP BY client""")
 def duplicate_flows(spark, sf_dir):
