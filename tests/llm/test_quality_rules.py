@@ -1,4 +1,8 @@
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from tidegate.llm import quality_rules as Q
 
@@ -19,6 +23,22 @@ def test_counts_of_awkward_rows(spark):
     assert Q.keep_good(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("hash_bits", [1, 4, 64])
+def test_repeats_are_told_by_their_words(spark, hash_bits):
+    """With few bits left nearly all windows share them; the counts stay exact."""
+    rnd = random.Random(hash_bits)
+    texts = [" ".join(rnd.choice("ab cd ef".split()) for _ in range(rnd.randrange(40))) for _ in range(60)]
+    texts += [" ".join(f"w{rnd.randrange(40)}" for _ in range(300)), "a b c a b c", "a b c", "x y", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows, c = Q.with_counts(docs, hash_bits=hash_bits)
+    got = {r.doc_id: r.n for r in rows.select("doc_id", F.col(c["n_repeat_words"]).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        grams = [tuple(w[k:k + 3]) for k in range(len(w) - 2)]
+        twice = {g for g, n in Counter(grams).items() if n > 1}
+        assert got[i] == len({k + d for k, g in enumerate(grams) if g in twice for d in range(3)}), t
+
+
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
     assert Q.judge(docs, labels).count() == 0

@@ -47,15 +47,17 @@ class Literal:
 Rule = tuple[Literal, ...]
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+def with_counts(docs: DataFrame, text: str = "text", hash_bits: int = 64) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the counts of each whole text; the mapping tells a count's column, free of clashes.
 
     NULL, empty and blank texts have no words and no lines with a word; any other
     column of ``docs`` stays as it is.
 
-    Three-word windows are compared by the upper bits of their 64-bit hash. The
-    lower bits, as many as the text's length needs, hold the window's position,
-    so one sort of plain longs brings equal windows together.
+    Three-word windows are compared by the upper bits of their 64-bit hash (the
+    upper ``hash_bits`` at most). The lower bits, as many as the text's length
+    needs, hold the window's position, so one sort of plain longs brings equal
+    windows together. The words of neighbours with equal bits are then compared;
+    a text where they differ is counted again by sorting the words themselves.
     """
     names = (*_STEPS, *COUNTS)
     c = dict(zip(names, fresh(docs, *(f"q_{n}" for n in names))))
@@ -69,20 +71,32 @@ def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[st
     def alike(x: Column, other: Column) -> Column:
         return F.coalesce(x.bitwiseXOR(other).bitwiseAND(F.bitwise_not(low)) == 0, F.lit(False))
 
+    def three(i: Column) -> Column:
+        return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(low).cast("int")
+
     split = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK))
     out = docs.withColumn(c["words"], split)
     out = out.withColumn(c["low"], F.pow(F.lit(2.0), F.ceil(F.log2(F.size(words) + 2))).cast("bigint") - 1)
     marked = F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
         lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-        .bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint")),
+        .bitwiseAND(F.lit(-1 << (64 - hash_bits))).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint")),
     )
     none = F.array().cast("array<bigint>")
     out = out.withColumn(c["windows"], F.when(F.size(words) >= 3, F.sort_array(marked)).otherwise(none))
-    out = out.withColumn(c["again"], F.transform(
-        F.filter(windows, lambda x, i: alike(x, F.get(windows, i + 1)) | alike(x, F.get(windows, i - 1))),
-        lambda x: x.bitwiseAND(low),
-    ))
+    out = out.withColumn(c["again"], F.filter(
+        windows, lambda x, i: alike(x, F.get(windows, i + 1)) | alike(x, F.get(windows, i - 1))))
+    # neighbours with equal bits and other words: some hash of the text stands for two windows
+    clashes = F.filter(again, lambda x, i: alike(x, F.get(again, i + 1)) & (
+        three(place(x)) != three(place(F.get(again, i + 1)))))
+    by_words = F.array_sort(F.transform(again, lambda x: F.struct(three(place(x)).alias("w"), place(x).alias("at"))))
+    exact = F.flatten(F.transform(F.array(by_words), lambda e: F.filter(e, lambda x, i: F.coalesce(
+        (x["w"] == F.get(e, i + 1)["w"]) | (x["w"] == F.get(e, i - 1)["w"]), F.lit(False)))))
+    out = out.withColumn(c["again"], F.when(F.size(clashes) > 0, F.transform(exact, lambda x: x["at"])).otherwise(
+        F.transform(again, place)))
     lines = F.filter(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(TEXT_BLANKS)) != "")
     covered = F.array_distinct(F.flatten(F.transform(again, lambda p: F.array(p, p + 1, p + 2))))
     counts = {
