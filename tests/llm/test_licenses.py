@@ -1,3 +1,4 @@
+import random
 import re
 
 from tidegate.llm import licenses as L
@@ -36,8 +37,25 @@ def test_against_all_windows(spark):
         (5, f"{t1} {t2}. {t0}"), (6, filler), (7, "alpha beta gamma delta"), (8, f"{t1}\n" * 200), (9, "one two three four five " * 30),
         (10, filler + " " + t2 + " " + filler + " " + t1),
     ]
-    got = L.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(TEMPLATES, "template int, license string, text string"))
-    assert {(r.doc_id, r.license): r.containment for r in got.collect()} == plain(docs, TEMPLATES)
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(TEMPLATES, "template int, license string, text string")
+    got = L.scan(*tables).collect()
+    assert {(r.doc_id, r.license): r.containment for r in got} == plain(docs, TEMPLATES)
+    joined = L.scan(*tables, max_keys=3).collect()          # more signature shingles than constants
+    assert sorted(joined) == sorted(got)
+
+
+def test_whole_licence_of_three_hundred_lines(spark):
+    """Templates as long as licence bodies, more signature shingles than constants, one text with a tenth of its words changed."""
+    rnd = random.Random(3)
+    body = [" ".join(f"t{rnd.randrange(900)}" for _ in range(9)) for _ in range(300)]
+    other = [" ".join(f"u{rnd.randrange(900)}" for _ in range(9)) for _ in range(300)]
+    changed = [line if k % 12 else "quite another line of nine words in its place" for k, line in enumerate(body)]
+    docs = [(1, "\n".join(["head " * 50, *body, "tail " * 50])), (2, "\n".join(changed)), (3, "\n".join(body[:150])), (4, "\n".join(other[::-1]))]
+    templates = [(0, "Body", "\n".join(body)), (1, "Other", "\n".join(other))]
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(templates, "template int, license string, text string")
+    for max_keys in (L.MAX_KEYS, 5):
+        got = {(r.doc_id, r.license): r.containment for r in L.scan(*tables, max_keys=max_keys).collect()}
+        assert got == plain(docs, templates) and set(got) == {(1, "Body"), (2, "Body")}
 
 
 def test_awkward_rows_and_empty_tables(spark):

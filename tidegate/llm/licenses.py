@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import written
 
-MAX_KEYS = 100_000       # shingles that all templates' signatures may hold together, as they are constants of the scan
+MAX_KEYS = 20_000        # shingles of all templates' signatures that are constants of the scan; more are joined
 WORD = "[\\p{L}\\p{N}]+(?:[.\\-][\\p{L}\\p{N}]+)*"
 
 # Notices that public licenses ask for or that are in common use.
@@ -102,6 +102,7 @@ def _least(shingles: Column, band: Column) -> Column:
 
 def scan(
     docs: DataFrame, templates: DataFrame, scan: Scan = Scan(), doc_id: str = "doc_id", text: str = "text",
+    max_keys: int = MAX_KEYS,
 ) -> DataFrame:
     """doc_id, license, containment, first_word, windows: one row per document and license found in its whole text.
 
@@ -109,21 +110,30 @@ def scan(
     ``first_word`` the place of the first such window. Documents without a
     license, NULL and empty texts have no row; rows that repeat an id count as
     one document; NULL ids are one document.
+
+    Up to ``max_keys`` shingles of signatures are looked for inside each row;
+    more of them are a table that the shingles' places are joined with. Both
+    ways find the same places.
     """
     wanted = prepared(templates, scan)
     minima = written(wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(scan.bands - 1))).alias("band")).select(
         "*", _least(F.col("wanted"), F.col("band")).alias("value")).select(
         "*", F.explode("wanted").alias("key")).where(F.xxhash64("key", "band") == F.col("value")))
-    bounds = minima.agg(F.max("width").alias("width"), F.collect_set("key").alias("keys")).first()
-    if len(bounds.keys) > MAX_KEYS:
-        raise ValueError(f"templates with more than {MAX_KEYS} signature shingles: scan them in parts")
-    reach = bounds.width or 1
+    reach = minima.agg(F.max("width")).first()[0] or 1
+    keys = minima.select("key").distinct()
+    known = [r["key"] for r in keys.limit(max_keys + 1).collect()]
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
     rows = rows.select("doc_id", _shingles(F.col("words"), scan.shingle).alias("shingles"))
     shingles = F.col("shingles")
-    hits = F.filter(
-        F.transform(shingles, lambda x, i: F.when(x.isin(*bounds.keys), i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", "shingles", hits.alias("hits"))
+    if len(known) <= max_keys:
+        hits = F.filter(
+            F.transform(shingles, lambda x, i: F.when(x.isin(*known), i)), lambda i: i.isNotNull())
+        rows = rows.select("doc_id", "shingles", hits.alias("hits"))
+    else:
+        # stored, so that a row keeps its number; a row's places gather again, as its shingles did before
+        rows = written(rows.where(F.size("shingles") > 0).withColumn("row", F.monotonically_increasing_id()))
+        places = rows.select("row", F.posexplode("shingles").alias("at", "key")).join(keys, "key", "left_semi")
+        rows = rows.join(places.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("hits")), "row").drop("row")
     around = F.transform("hits", lambda i: F.struct(
         F.get(shingles, i).alias("key"), i.alias("at"), F.greatest(i - reach, F.lit(0)).alias("base"),
         F.slice(shingles, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near")))
