@@ -106,3 +106,18 @@ def test_awkward_documents_round_trip(spark):
         assert at <= 128
     assert len(sequences) <= sum(r.length for r in rows) / 128 + 12
     assert K.pack_documents(spark.createDataFrame([], DOCS), tokenizer()).count() == 0
+
+
+@pytest.mark.parametrize("partitions,pieces,groups", [(4_000, 1_000, 7_919), (50, 40_000, 250), (3, 10, 1)])
+def test_pieces_are_dealt_evenly(partitions, pieces, groups):
+    """Also where groups outnumber the pieces of a partition and their number divides its start."""
+    sizes = np.zeros(groups + 1, np.int64)
+    for p in range(partitions):
+        whole, rest = divmod(pieces, groups)
+        sizes[:groups] += whole
+        at = K.first_deal(p) % groups
+        for lo, hi in ((at, min(at + rest, groups)), (0, at + rest - groups)):
+            if hi > lo:
+                sizes[lo:hi] += 1
+    sizes, mean = sizes[:groups], partitions * pieces / groups
+    assert sizes.sum() == partitions * pieces and sizes.max() <= mean + 6 * mean ** 0.5 + 1

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -60,14 +61,14 @@ def pieces(
 
     ``end_id`` closes every document, so NULL and empty texts give one piece of
     one id. Repeated rows give their pieces again. ``deal`` numbers the pieces of
-    a partition from a start that differs between partitions.
+    a partition from a start that is a hash of the partition's number.
     """
     schema = T.StructType([*PIECES.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if with_ids else PIECES
     tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
     size = capacity.tokens
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, deal = encoder(tokenizer), (TaskContext.get().partitionId() * 7919) if TaskContext.get() else 0
+        encode, deal = encoder(tokenizer), first_deal(TaskContext.get().partitionId())
         for batch in rows_of(batches, _ROWS):
             out: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), as_strings(batch.column(1))):
@@ -86,6 +87,11 @@ def pieces(
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(split, schema)
 
 
+def first_deal(partition: int) -> int:
+    """Start of a partition's numbers, spread evenly over 56 bits."""
+    return int.from_bytes(blake2b(b"%d" % partition, digest_size=7).digest(), "little")
+
+
 def best_fit(lengths: Sequence[int], capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; lengths fall or stay equal from piece to piece."""
     room = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
@@ -125,8 +131,10 @@ def best_fit(lengths: Sequence[int], capacity: Capacity) -> tuple[np.ndarray, np
 def pack(cuts: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     """The pieces with sequence_id and offset. ``cuts`` must be stored, as ``deal`` places its rows.
 
-    No group exceeds ``capacity.group`` pieces by much, whatever the documents'
-    ids: pieces are dealt out one by one. Equal lengths are taken in order of
+    Pieces are dealt out one by one from a start that is random per partition,
+    so groups differ like draws of about ``capacity.group`` pieces, whatever the
+    documents' ids. A task packs several groups, one after the other, where there
+    are more than shuffle partitions. Equal lengths are taken in order of
     doc_id (NULL first), piece and deal.
     """
     n_groups = max(1, -(-cuts.count() // capacity.group))
@@ -143,8 +151,10 @@ def pack(cuts: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
         rows["offset"] = offsets
         return rows[[*kept, "sequence_id", "offset"]]
 
+    spark = cuts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = cuts.withColumn("lot", F.pmod("deal", F.lit(n_groups)))
-    return dealt.repartition(n_groups, "lot").groupBy("lot").applyInPandas(place, schema)
+    return dealt.repartition(min(n_groups, tasks), "lot").groupBy("lot").applyInPandas(place, schema)
 
 
 def pack_documents(
