@@ -220,3 +220,15 @@ def test_rounds_read_shards_in_place(spark):
     shards = tr.lay_out_shards(separable(spark, 300), ["key"], rows_per_shard=50)
     plan = tr.fit_shards(shards, NET, {0: (tr.Fit(), initial_parameters(NET))})._jdf.queryExecution().executedPlan()
     assert "Exchange" not in plan.toString()
+
+
+@pytest.mark.parametrize("name", ["Adam", "RMSprop", "SGD"])
+def test_shards_in_common_steps(name):
+    """Shards trained side by side end where each ends alone, dropout draws and short batches included."""
+    layout = Layout("t", (4, 6, 5, 2), "softmax", dropout=0.3, spare=(6,))
+    rng = np.random.default_rng(3)
+    shards = [(rng.normal(size=(n, 4)), rng.integers(0, 2, n), slot) for slot, n in enumerate((100, 131, 64))]
+    fit, start = tr.Fit(name, lr=0.01, epochs=3), np.array(initial_parameters(layout))
+    for one, (x, y, slot) in zip(tr.train_shards(layout, fit, start, shards), shards):
+        for a, b in zip(one, tr.train_shard(layout, fit, start, x, y, slot)):
+            assert np.array_equal(a, b)
