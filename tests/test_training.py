@@ -232,3 +232,36 @@ def test_shards_in_common_steps(name):
     for one, (x, y, slot) in zip(tr.train_shards(layout, fit, start, shards), shards):
         for a, b in zip(one, tr.train_shard(layout, fit, start, x, y, slot)):
             assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("resume", [False, True])
+def test_whole_batch_of_a_client_in_many_shards(spark, resume):
+    layout, rng = Layout("t", (3, 4, 2)), np.random.default_rng(5)
+    x, client = rng.normal(size=(400, 3)), rng.integers(0, 2, 400)
+    y = (x[:, 0] > 0).astype("int64")
+    df = spark.createDataFrame(
+        [(i, None if c else 7, int(v), r.tolist()) for i, (c, v, r) in enumerate(zip(client, y, x))],
+        "k bigint, client int, label bigint, features array<double>")
+    shards = tr.lay_out_shards(df, ["k"], rows_per_shard=30)
+    assert shards.n_shards > 12
+    start = initial_parameters(layout)
+    jobs = {0: (tr.Fit("SGD", lr=0.5, epochs=3, batch_size=None, resume=resume), start),
+            1: (tr.Fit("Adam", lr=0.1, epochs=2, batch_size=None, resume=resume), start)}
+    got = {(r["job"], r["client"]): r for r in tr.fit_shards(shards, layout, jobs).collect()}
+    assert len(got) == 4
+    for c, name in ((0, 7), (1, None)):
+        for job, (fit, _) in jobs.items():
+            one = tr.Fit(fit.optimiser, fit.lr, epochs=fit.epochs, batch_size=1000, resume=resume)
+            w, loss, correct, steps = tr.train_shard(layout, one, np.array(start), x[client == c], y[client == c], 0)
+            r = got[job, name]
+            assert r["n"] == (client == c).sum() and r["batches"] == steps.tolist() and r["correct"] == correct.tolist()
+            assert r["w"] == pytest.approx(w.tolist(), abs=1e-9) and r["loss"] == pytest.approx(loss.tolist(), abs=1e-9)
+
+
+def test_a_full_batch_spreads_over_tasks(spark, monkeypatch):
+    """No task may hold all rows of a client."""
+    from tidegate.plans import twin_queries
+    laid, kept = [], twin_queries.shards_and_holdout
+    monkeypatch.setattr(twin_queries, "shards_and_holdout", lambda *a, **k: laid.append(k) or kept(*a, **k))
+    twin_queries.full_batch_fit(spark, "/root/testdata/sf0.001")
+    assert laid[0].get("rows_per_shard", tr.ROWS_PER_SHARD) <= tr.ROWS_PER_SHARD

@@ -75,8 +75,8 @@ SELECT CAST(client AS INT) AS client, CAST(n AS BIGINT) AS n, round(loss / n, 6)
     f"round({c}, 6) AS {c}" for c in NAMES) + " FROM steps JOIN losses USING (client)")
 def full_batch_fit(spark, sf_dir):
     """One local epoch of every client in one batch: its parameters and mean loss."""
-    shards, _ = shards_and_holdout(spark, sf_dir, rows_per_shard=1 << 40)
-    fit = training.Fit("SGD", lr=0.5, epochs=1, batch_size=ONE_BATCH)
+    shards, _ = shards_and_holdout(spark, sf_dir)
+    fit = training.Fit("SGD", lr=0.5, epochs=1, batch_size=None)
     fits = written(training.fit_shards(shards, LINEAR, {0: (fit, initial_parameters(LINEAR, "start"))}))
     merged = federation.average_parameters(fits, ["client"])
     loss = fits.groupBy("client").agg(F.sum(F.col("loss")[0] * F.col("n")).alias("loss"))
