@@ -265,3 +265,21 @@ def test_a_full_batch_spreads_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(twin_queries, "shards_and_holdout", lambda *a, **k: laid.append(k) or kept(*a, **k))
     twin_queries.full_batch_fit(spark, "/root/testdata/sf0.001")
     assert laid[0].get("rows_per_shard", tr.ROWS_PER_SHARD) <= tr.ROWS_PER_SHARD
+
+
+def test_runs_of_several_rates_and_seeds_in_common_steps():
+    """Runs over the same or other shards that differ in rate, seed and start end where each ends alone."""
+    layout, rng = Layout("t", (4, 6, 2), "softmax", dropout=0.3), np.random.default_rng(4)
+    runs = []
+    for k, n in enumerate((96, 131, 96)):
+        fit = tr.Fit("Adam", lr=0.01 * (k + 1), epochs=2, seed=k, resume=True)
+        runs.append((fit, np.array(initial_parameters(layout, k)), rng.normal(size=(n, 4)), rng.integers(0, 2, n), 5 - k))
+    for one, (fit, start, x, y, slot) in zip(tr.train_together(layout, runs), runs):
+        for a, b in zip(one, tr.train_shard(layout, fit, start, x, y, slot)):
+            assert np.array_equal(a, b)
+
+
+def test_a_task_has_shards_to_train_side_by_side(spark):
+    cores = spark.sparkContext.defaultParallelism
+    shards = tr.lay_out_shards(separable(spark, 50 * cores), ["key"], rows_per_shard=10)
+    assert shards.n_shards >= 3 * cores and shards.rows.rdd.getNumPartitions() == cores
