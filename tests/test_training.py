@@ -283,3 +283,12 @@ def test_a_task_has_shards_to_train_side_by_side(spark):
     cores = spark.sparkContext.defaultParallelism
     shards = tr.lay_out_shards(separable(spark, 50 * cores), ["key"], rows_per_shard=10)
     assert shards.n_shards >= 3 * cores and shards.rows.rdd.getNumPartitions() == cores
+
+
+def test_a_batch_larger_than_every_shard():
+    layout, rng = Layout("t", (4, 6, 2)), np.random.default_rng(6)
+    shards = [(rng.normal(size=(n, 4)), rng.integers(0, 2, n), slot) for slot, n in enumerate((40, 55))]
+    start = np.array(initial_parameters(layout))
+    for huge, whole in zip(tr.train_shards(layout, tr.Fit(batch_size=10**12, epochs=2), start, shards),
+                           tr.train_shards(layout, tr.Fit(batch_size=60, epochs=2), start, shards)):
+        assert all(np.array_equal(a, b) for a, b in zip(huge, whole))
